@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +53,21 @@ def let(value: Column, body) -> Column:
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once a session.
+
+    The driver serves the archive, so executors need neither an installed package nor a
+    shared folder.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_millrace_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    path = Path(tempfile.mkdtemp()) / "millrace_package.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted((root / "millrace").rglob("*.py")):
+            archive.write(file, file.relative_to(root))
+    context.addPyFile(str(path))
+    context._millrace_shipped = True

@@ -7,6 +7,8 @@ from importlib import import_module
 #: query name -> module that holds the function of that name
 NAMES = {
     "op1_shard": "sharding",
+    "op6_bpe": "bpe",
+    "op10_language": "langid",
 }
 
 
