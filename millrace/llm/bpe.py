@@ -13,7 +13,6 @@ through the library.
 from __future__ import annotations
 
 import base64
-import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -130,38 +129,43 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str =
 
     # a long text travels as chunks; the other columns of its row go with the first one
     rest = [c for c in df.columns if c != text]
+    others = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.lit(1).alias("last"))
+    names = ["__row", "__lo", "__part", "__rest"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(whole.num_rows):
-                one = whole.slice(i, 1)
-                row, value = one.column(0)[0].as_py(), one.column(at + 2)[0].as_py()
-                key = one.column(1)[0].as_py()
-                for k, lo in enumerate(range(0, max(1, len(value) - OVERLAP), CHUNK)):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row], pa.int64()), pa.array([key], pa.int64()), pa.array([lo], pa.int64()), pa.array([value[lo : lo + CHUNK + OVERLAP]])], ["__row", "__key", "__lo", "__part"]
-                    )
+        for batch in batches:
+            for i in range(batch.num_rows):
+                value, more = batch.column(1)[i].as_py(), batch.column(2).slice(i, 1)
+                starts = range(0, len(value) - OVERLAP, CHUNK)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array([i] * len(starts))),
+                        pa.array(starts, pa.int64()),
+                        pa.array([value[lo : lo + CHUNK + OVERLAP] for lo in starts]),
+                        more.take(pa.array([0] + [None] * (len(starts) - 1), pa.int64())),
+                    ],
+                    names,
+                )
 
     def pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends = [boundaries(x, pattern, lo).astype("<i8").tobytes() for lo, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends, pa.binary())], [*batch.schema.names, "__ends"])
+            ends = [boundaries(x, pattern, lo).astype("<i8").tobytes() for lo, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends, pa.binary())], [*names, "__ends"])
 
-    def join(key, chunks):
-        rows = sorted(zip(chunks.column("__lo").to_pylist(), chunks.column("__part").to_pylist(), chunks.column("__ends").to_pylist()))
+    def join(chunks):
+        chunks = chunks.sort_by("__lo")
+        rows = zip(*(chunks.column(c).to_pylist() for c in ("__lo", "__part", "__ends")))
         whole, ends = stitch([(lo, x, np.frombuffer(e, dtype="<i8")) for lo, x, e in rows], pattern)
         found = encode_pieces(whole, ends, vocabulary.encoding(), {})
-        return pa.table({"__row": pa.array([key[0].as_py()], pa.int64()), "__key": pa.array([key[1].as_py()], pa.int64()), "__text": [whole], ids: pa.array([found.tobytes()], pa.binary())})
-
-    # equal long rows are one group: their number travels along, so that no group holds more than one text
-    others = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]) if rest else F.struct(F.lit(1).alias("c0"))
-    long = df.where(is_long).select(F.monotonically_increasing_id().alias("__row"), F.xxhash64(text).alias("__key"), *df.columns)
-    chunk_schema = "__row long, __key long, __lo long, __part string"
-    chunks = long.mapInArrow(cut, chunk_schema).repartition("__row", "__lo").mapInArrow(pretokenise, chunk_schema + ", __ends binary")
-    joined = chunks.groupBy("__row", "__key").applyInArrow(join, f"__row long, __key long, __text string, {json.dumps(ids).replace(chr(34), chr(96))} binary")
-    side = long.select("__row", "__key", others.alias("__rest"))
-    back = side.join(joined, ["__row", "__key"])
-    out = back.select(*[F.col("__text").alias(c) if c == text else F.col(f"__rest.c{rest.index(c)}").alias(c) for c in df.columns], F.col(ids))
+        return pa.table({"__rest": chunks.column("__rest").slice(0, 1), "__part": [whole], "__ids": pa.array([found.tobytes()], pa.binary())})
+
+    # the number of a row holds its chunks together, so that equal rows are not one group
+    long = df.where(is_long).select(F.monotonically_increasing_id().alias("__row"), F.col(f"`{text}`").alias("__part"), others.alias("__rest"))
+    row, part, kept = (T.StructField(f.name, f.dataType) for f in long.schema.fields)  # nullable: later chunks have no rest
+    chunked = T.StructType([row, T.StructField("__lo", T.LongType()), part, kept])
+    chunks = long.mapInArrow(cut, chunked).repartition("__row", "__lo").mapInArrow(pretokenise, T.StructType([*chunked.fields, T.StructField("__ends", T.BinaryType())]))
+    joined = chunks.groupBy("__row").applyInArrow(join, T.StructType([kept, part, T.StructField("__ids", T.BinaryType())]))
+    out = joined.select(*[F.col("__part").alias(c) if c == text else F.col(f"__rest.c{rest.index(c)}").alias(c) for c in df.columns], F.col("__ids").alias(ids))
     return encoded.unionByName(out)
 
 
