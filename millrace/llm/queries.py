@@ -10,6 +10,7 @@ NAMES = {
     "op5_decontaminate": "decontam",
     "op6_bpe": "bpe",
     "op8_toxicity": "toxicity",
+    "op9_urls": "urlfilter",
     "op10_language": "langid",
 }
 
