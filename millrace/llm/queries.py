@@ -7,6 +7,7 @@ from importlib import import_module
 #: query name -> module that holds the function of that name
 NAMES = {
     "op1_shard": "sharding",
+    "op2_quality": "quality",
     "op5_decontaminate": "decontam",
     "op6_bpe": "bpe",
     "op8_toxicity": "toxicity",
