@@ -11,6 +11,7 @@ NAMES = {
     "op4_simhash": "simhash",
     "op5_decontaminate": "decontam",
     "op6_bpe": "bpe",
+    "op7_licenses": "licenses",
     "op8_toxicity": "toxicity",
     "op9_urls": "urlfilter",
     "op10_language": "langid",
