@@ -8,6 +8,7 @@ from importlib import import_module
 NAMES = {
     "op1_shard": "sharding",
     "op2_quality": "quality",
+    "op3_lines": "linededup",
     "op4_simhash": "simhash",
     "op5_decontaminate": "decontam",
     "op6_bpe": "bpe",
