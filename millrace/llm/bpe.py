@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import ship, table
+from millrace.llm.common import free, ship, table
 
 CHUNK = 32768
 OVERLAP = 512
@@ -106,11 +106,9 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str =
     """``df`` with ``ids``: its texts' token ids as little-endian unsigned 32-bit integers (binary).
 
     A null or empty text gives no ids (empty binary). All columns pass through, texts
-    included; repeated rows stay repeated. A column named like ``ids`` is refused with a
-    ValueError. Texts of one chunk are encoded where they lie; only longer ones move.
+    included; repeated rows stay repeated. A column named like ``ids`` is replaced. Texts of one chunk are encoded where they lie; only longer ones move.
     """
-    if ids.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"the frame already has a column named {ids}")
+    df = free(df, [ids])
     ship(df.sparkSession)
     at = df.columns.index(text)
     pattern = vocabulary.pattern
@@ -175,8 +173,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded: str
     Bytes are not checked to be UTF-8, as a token may hold part of a character. Null ids
     give no bytes; an id that the vocabulary lacks is an error.
     """
-    if decoded.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"the frame already has a column named {decoded}")
+    df = free(df, [decoded])
     ship(df.sparkSession)
     at = df.columns.index(ids)
 

@@ -41,6 +41,12 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, new: list[str]) -> DataFrame:
+    """``df`` without the columns that are named like one of the results in ``new``; results replace them."""
+    taken = {c.lower() for c in new}
+    return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once.
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import ship, table
+from millrace.llm.common import free, ship, table
 
 DIMENSIONS = 1024
 SEED = 1009
@@ -142,10 +142,9 @@ def identify(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text
 
     A null text, one without a letter, or an empty set of prototypes gives ``und`` and
     0; ties go to the first language in order. All columns of ``df`` pass through;
-    ``lang_pred`` and ``score`` among them are refused with a ValueError.
+    ``lang_pred`` and ``score`` among them are replaced.
     """
-    if {"lang_pred", "score"} & {c.lower() for c in df.columns}:
-        raise ValueError("the frame already has a column named lang_pred or score")
+    df = free(df, ["lang_pred", "score"])
     ship(df.sparkSession)
     names, matrix = list(prototypes), np.array(list(prototypes.values())).reshape(-1, DIMENSIONS)
     at = df.columns.index(text)

@@ -14,7 +14,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ascii_lower, let, table
+from millrace.llm.common import ascii_lower, free, let, table
 
 #: Words of a text whose A-Z are not yet lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -168,12 +168,11 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with n_words (long), base (array of s, e, label) and detections (array of s, e, label, priority, confidence).
 
     ``s`` and ``e`` number words from 0, ``e`` exclusive. Null and empty texts have no
-    words and no detections. Nothing is shuffled; repeated rows stay. A clash of names is
-    refused with a ValueError.
+    words and no detections. Nothing is shuffled; repeated rows stay. Columns of ``df``
+    with these names are replaced.
     """
     new = ["n_words", "base", "detections"]
-    if set(new) & {c.lower() for c in df.columns}:
-        raise ValueError(f"the frame already has a column among {new}")
+    df = free(df, new)
     value = F.coalesce(F.col(text), F.lit(""))
     table_of_rules = F.from_json(F.lit(json.dumps(rules())), _RULE_TYPE)
     low = F.lower(value)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, let, saved, table
+from millrace.llm.common import WORD, free, let, saved, table
 
 #: Leading tokens that lead to a leaf.
 DEPTH = 3
@@ -79,11 +79,10 @@ def drop_recurring(df: DataFrame, key: str = "doc_id", text: str = "text", min_d
 
     Lines are what stands between \\n. The first line of a recurring template (by id, then
     place) stays. Null texts stay null, with 0 lines; lines without a word always stay.
-    Other columns and repeated rows pass through; a clash of names is refused with a
-    ValueError.
+    Other columns and repeated rows pass through; columns called n_lines or
+    n_dropped are replaced.
     """
-    if {"n_lines", "n_dropped"} & {c.lower() for c in df.columns}:
-        raise ValueError("the frame already has a column named n_lines or n_dropped")
+    df = free(df, ["n_lines", "n_dropped"])
     docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     dropped = recurring(docs, min_docs).groupBy("doc_id", "h").agg(F.collect_set("i").alias("__drop")).withColumnsRenamed({"doc_id": "__id", "h": "__h"})
     joined = df.join(dropped, F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__h")), "left")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, let, table
+from millrace.llm.common import WORD, free, let, table
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -85,11 +85,10 @@ def clean(df: DataFrame, text: str = "text") -> DataFrame:
     New columns: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long),
     base_failed, clean_text, kept_words (long), kept. A null text counts as empty:
     no words, base_failed, not kept. Everything is computed inside a row, so repeated
-    rows stay and nothing is shuffled. A clash of names is refused with a ValueError.
+    rows stay and nothing is shuffled. Columns of ``df`` with these names are replaced.
     """
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "kept_words", "kept"]
-    if set(new) & {c.lower() for c in df.columns}:
-        raise ValueError(f"the frame already has a column among {new}")
+    df = free(df, new)
     value = F.coalesce(F.col(text), F.lit(""))
     long = lambda c: c.cast("long")
     worded = F.filter(F.split(value, "\n"), lambda x: x.rlike(WORD))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
+from millrace.llm.common import free, table
 
 BUCKETS = 4096
 CHUNK = 65536
@@ -107,12 +107,11 @@ def assign_shards(df: DataFrame, n_shards: int, seed: int = 20_240_229) -> DataF
 
     Nulls are values like others. Repeated rows stay repeated, each with a slot of its
     own. An empty frame gives an empty frame. Columns called ``shard`` or ``slot`` in
-    ``df`` are refused with a ValueError.
+    ``df`` are replaced.
     """
-    if {"shard", "slot"} & {c.lower() for c in df.columns}:
-        raise ValueError("the frame already has a column named shard or slot")
     if n_shards < 1:
         raise ValueError("n_shards must be at least 1")
+    df = free(df, ["shard", "slot"])
     names = [f"__c{i}" for i in range(len(df.columns))]
     counted = df.toDF(*names).groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
     chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / CHUNK).cast("long")))

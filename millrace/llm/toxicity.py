@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import ship, table
+from millrace.llm.common import free, ship, table
 
 #: About so many labelled rows train the chain (a bounded sample of the labelled rows, by a hash of the id).
 SAMPLE_ROWS = 12_000
@@ -167,12 +167,11 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", decided_by: str = "
     """``docs`` with ``p_<category>`` for each category and the boolean ``toxic``.
 
     Null and empty texts have no words and get what the models say of none. All columns
-    pass through; a clash of names is refused with a ValueError.
+    pass through; columns with these names are replaced.
     """
     ship(docs.sparkSession)
     new = [f"p_{c}" for c in chain.categories] + ["toxic"]
-    if {x.lower() for x in new} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"the frame already has a column among {new}")
+    docs = free(docs, new)
     at, decider = docs.columns.index(text), chain.categories.index(decided_by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
