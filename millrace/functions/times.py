@@ -32,6 +32,8 @@ def calendar_stamp(day: Column, hhmm: Column, default: str) -> Column:
 
 
 def utc_text(stamp: Column) -> Column:
-    """ISO 8601 with Z; seconds are left out where they are zero."""
-    whole = F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return F.concat(F.regexp_replace(F.regexp_replace(whole, r"\.?0+$", ""), r"(T\d\d):?$", "$1:00"), F.lit("Z"))
+    """ISO 8601 with Z; fractions have three or six digits, and seconds are left out where they are zero."""
+    text = F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    for long, short in ((r"\.000000$", ""), (r"(\.\d{3})000$", "$1"), (r"(T\d\d:\d\d):00$", "$1")):
+        text = F.regexp_replace(text, long, short)
+    return F.concat(text, F.lit("Z"))

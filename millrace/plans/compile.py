@@ -20,6 +20,14 @@ from millrace.plans.language import Literal, Plan, Predicate, Range, literal, li
 _CLASS = {bool: "boolean", int: "number", float: "number", str: "string"}
 
 
+def _classed(column: Column, path: str, kind: str) -> Column:
+    """What a VARIANT holds at ``path`` if its class is ``kind``, else null."""
+    named = F.schema_of_variant(F.try_variant_get(column, path, "variant"))
+    if kind == "number":
+        return F.when(named.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(column, path, "double"))
+    return F.when(named == kind.upper(), F.try_variant_get(column, path, kind))
+
+
 class Resolved:
     """A path of a frame: a typed column, an array, a field of a VARIANT, or nothing."""
 
@@ -55,13 +63,7 @@ class Resolved:
     def of(self, kind: str) -> Column:
         """The value where it is of the class ``kind`` (boolean, number, string), else null."""
         if self.variant:
-            at = F.try_variant_get(self.column, self.path, "variant")
-            named = F.schema_of_variant(at)
-            if kind == "string":
-                return F.when(named == "STRING", F.try_variant_get(self.column, self.path, "string"))
-            if kind == "boolean":
-                return F.when(named == "BOOLEAN", F.try_variant_get(self.column, self.path, "boolean"))
-            return F.when(named.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(self.column, self.path, "double"))
+            return _classed(self.column, self.path, kind)
         mine = {T.StringType: "string", T.BooleanType: "boolean"}.get(type(self.kind), "number" if isinstance(self.kind, T.NumericType) else None)
         return self.column if mine == kind else F.lit(None).cast({"string": "string", "boolean": "boolean", "number": "double"}[kind])
 
@@ -77,9 +79,9 @@ class Resolved:
             stamp = F.try_to_timestamp(F.lit(value)).cast(self.kind)
             return F.coalesce(compare(self.column, stamp), F.lit(False))
         if self.variant:
-            each = F.try_variant_get(self.column, self.path, {"string": "array<string>", "number": "array<double>", "boolean": "array<boolean>"}[_CLASS[type(value)]])
+            items = F.try_variant_get(self.column, self.path, "array<variant>")
             in_list = F.schema_of_variant(F.try_variant_get(self.column, self.path, "variant")).startswith("ARRAY")
-            any_of = F.exists(each, lambda x: F.coalesce(compare(x, F.lit(value)), F.lit(False)))
+            any_of = F.exists(items, lambda x: F.coalesce(compare(_classed(x, "$", _CLASS[type(value)]), F.lit(value)), F.lit(False)))
             return F.coalesce(F.when(in_list, any_of).otherwise(compare(self.of(_CLASS[type(value)]), F.lit(value))), F.lit(False))
         if self.kind is None or _CLASS[type(value)] not in self._classes():
             return F.lit(False)
@@ -113,6 +115,8 @@ def _one(at: Resolved, p: Predicate) -> Column:
     raw = _quoted(p.value or "")
     pattern = {"contains": f"(?iu){raw}", "startswith": f"(?iu)^{raw}", "endswith": f"(?iu){raw}$"}[p.operator]
     if isinstance(at.kind, T.ArrayType):
+        if not isinstance(at.kind.elementType, T.StringType):
+            return F.lit(False)
         return F.coalesce(F.exists(at.column, lambda x: x.rlike(pattern)), F.lit(False))
     return F.coalesce(at.of("string").rlike(pattern), F.lit(False))
 
