@@ -25,7 +25,7 @@ FEATURES = 256
 FOLDS = 5
 L2 = 1.0
 #: A document is toxic from this probability of the category ``toxic`` on.
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 
 _WORD = re.compile(r"[^\W\d_]+")
 
