@@ -3,8 +3,9 @@
 The urls that a rule decides are the labelled ones. Per host, paths become templates:
 segments that vary by nature (numbers, long codes, dates) are wildcards, and sibling
 branches whose labels do not differ more than chance are merged into one wildcard
-branch. A template is rejected if its smoothed share of blocked urls is high enough;
-the smoothing pulls a template towards its host, and a host towards all urls.
+branch, on two levels; deeper segments are wildcards. A template is rejected if its
+smoothed share of blocked urls is high enough; the smoothing pulls a template towards
+its branch, a branch towards its host, and a host towards all urls.
 """
 
 from __future__ import annotations
@@ -33,42 +34,48 @@ WITH raw AS (
 ), ruled AS (
   SELECT page_id, host, path, CASE {rule_cases} END AS rule FROM parts
 ), judged AS (
-  SELECT page_id, host, path, rule, CASE {verdict_cases} END AS ruled_as,
-    {segment_1} AS seg1,
-    {segments} AS depth
+  SELECT page_id, host, path, rule, CASE {verdict_cases} END AS ruled_as, {segment_1} AS seg1, {segment_2} AS seg2, {segments} AS depth
   FROM ruled
 ), named AS (
-  SELECT *, CASE WHEN {variable_1} THEN '*' ELSE seg1 END AS t1 FROM judged
-), branches AS (
-  SELECT host, depth, t1,
+  SELECT *, CASE WHEN {variable_1} THEN '*' ELSE seg1 END AS t1, CASE WHEN {variable_2} THEN '*' ELSE seg2 END AS t2 FROM judged
+), leaves AS (
+  SELECT host, depth, t1, t2,
     sum(CASE WHEN ruled_as = 'block' THEN 1 ELSE 0 END) AS bad, sum(CASE WHEN ruled_as IS NOT NULL THEN 1 ELSE 0 END) AS known
-  FROM named GROUP BY host, depth, t1
+  FROM named GROUP BY host, depth, t1, t2
+), branches AS (
+  SELECT host, depth, t1, sum(bad) AS bad, sum(known) AS known FROM leaves GROUP BY host, depth, t1
 ), hosts AS (
   SELECT host, depth, sum(bad) AS bad, sum(known) AS known FROM branches GROUP BY host, depth
 ), whole AS (
   SELECT (sum(bad) + 1.0) / (sum(known) + 2.0) AS share FROM hosts
-), merged AS (
-  SELECT b.host, b.depth, b.t1, b.bad, b.known, h.bad AS host_bad, h.known AS host_known,
-    CASE WHEN b.known = 0
-      OR abs(1.0 * b.bad / b.known - (h.bad + 1.0) / (h.known + 2.0))
-         <= {similar} * sqrt((h.bad + 1.0) / (h.known + 2.0) * (1 - (h.bad + 1.0) / (h.known + 2.0)) / b.known)
-      THEN '*' ELSE b.t1 END AS branch
+), outer_merge AS (
+  SELECT b.host, b.depth, b.t1, CASE WHEN {similar_b_h} THEN '*' ELSE b.t1 END AS b1
   FROM branches b JOIN hosts h ON b.host = h.host AND b.depth = h.depth
+), grown AS (
+  SELECT m.host, m.depth, m.b1, sum(b.bad) AS bad, sum(b.known) AS known
+  FROM branches b JOIN outer_merge m ON b.host = m.host AND b.depth = m.depth AND b.t1 = m.t1 GROUP BY m.host, m.depth, m.b1
+), regrown AS (
+  SELECT m.host, m.depth, m.b1, b.t2, sum(b.bad) AS bad, sum(b.known) AS known
+  FROM leaves b JOIN outer_merge m ON b.host = m.host AND b.depth = m.depth AND b.t1 = m.t1 GROUP BY m.host, m.depth, m.b1, b.t2
+), inner_merge AS (
+  SELECT b.host, b.depth, b.b1, b.t2, b.bad, b.known, h.bad AS branch_bad, h.known AS branch_known, CASE WHEN {similar_b_h} THEN '*' ELSE b.t2 END AS b2
+  FROM regrown b JOIN grown h ON b.host = h.host AND b.depth = h.depth AND b.b1 = h.b1
 ), templates AS (
-  SELECT host, depth, branch, sum(bad) AS bad, sum(known) AS known, max(host_bad) AS host_bad, max(host_known) AS host_known
-  FROM merged GROUP BY host, depth, branch
+  SELECT host, depth, b1, b2, sum(bad) AS bad, sum(known) AS known, max(branch_bad) AS branch_bad, max(branch_known) AS branch_known
+  FROM inner_merge GROUP BY host, depth, b1, b2
 ), pure AS (
-  SELECT host, depth, branch,
-    (bad + {smoothing} * (host_bad + {smoothing} * share) / (host_known + {smoothing})) / (known + {smoothing}) AS purity
-  FROM templates CROSS JOIN whole
+  SELECT t.host, t.depth, t.b1, t.b2,
+    (t.bad + {smoothing} * (t.branch_bad + {smoothing} * (h.bad + {smoothing} * (SELECT share FROM whole)) / (h.known + {smoothing})) / (t.branch_known + {smoothing})) / (t.known + {smoothing}) AS purity
+  FROM templates t JOIN hosts h ON t.host = h.host AND t.depth = h.depth
 ), decided AS (
-  SELECT m.host, m.depth, m.t1, m.branch, p.purity
-  FROM merged m JOIN pure p ON m.host = p.host AND m.depth = p.depth AND m.branch = p.branch
+  SELECT o.host, o.depth, o.t1, i.t2, p.b1, p.b2, p.purity
+  FROM outer_merge o JOIN inner_merge i ON o.host = i.host AND o.depth = i.depth AND o.b1 = i.b1
+  JOIN pure p ON i.host = p.host AND i.depth = p.depth AND i.b1 = p.b1 AND i.b2 = p.b2
 )
 SELECT n.page_id, n.host, n.path, n.rule,
   CASE WHEN n.ruled_as IS NOT NULL THEN n.ruled_as WHEN d.purity >= {purity} THEN 'block' ELSE 'allow' END AS verdict,
-  CASE WHEN n.depth = 0 THEN '/' WHEN n.depth = 1 THEN concat('/', d.branch) ELSE concat('/', d.branch, repeat('/*', n.depth - 1)) END AS template
-FROM named n JOIN decided d ON n.host = d.host AND n.depth = d.depth AND n.t1 = d.t1
+  CASE WHEN n.depth = 0 THEN '/' WHEN n.depth = 1 THEN concat('/', d.b1) ELSE concat('/', d.b1, '/', d.b2, repeat('/*', n.depth - 2)) END AS template
+FROM named n JOIN decided d ON n.host = d.host AND n.depth = d.depth AND n.t1 = d.t1 AND n.t2 = d.t2
 """
 
 
@@ -82,19 +89,34 @@ def _rule_cases() -> tuple[str, str]:
     return " ".join(rules), " ".join(verdicts)
 
 
+_DIALECTS = {
+    True: {"host": "regexp_extract(rest, r'^[^/?#]*', 0)", "path": "regexp_extract(rest, r'^[^/?#]*([^?#]*)', 1)", "segment_1": "regexp_extract(path, r'^/([^/]*)', 1)", "segment_2": "regexp_extract(path, r'^/[^/]*/([^/]*)', 1)", "matches": "regexp_like(", "raw": "r", "double": "{}D"},
+    False: {"host": "regexp_extract(rest, '^[^/?#]*', 0)", "path": "regexp_extract(rest, '^[^/?#]*([^?#]*)', 1)", "segment_1": "regexp_extract(path, '^/([^/]*)', 1)", "segment_2": "regexp_extract(path, '^/[^/]*/([^/]*)', 1)", "matches": "regexp_matches(", "raw": "", "double": "{}::DOUBLE"},
+}
+
+
 def _sql(pages: str, spark: bool) -> str:
     rule_cases, verdict_cases = _rule_cases()
-    rules = {"rule_cases": rule_cases, "verdict_cases": verdict_cases, "pages": pages, "similar": f"{SIMILAR}D" if spark else f"{SIMILAR}::DOUBLE", "smoothing": f"{SMOOTHING}D" if spark else f"{SMOOTHING}::DOUBLE", "purity": PURITY}
-    if spark:
-        get = {"find_start": "coalesce(instr(url, '://'), 0)", "host": "regexp_extract(rest, r'^[^/?#]*', 0)", "path": "regexp_extract(rest, r'^[^/?#]*([^?#]*)', 1)", "segment_1": "regexp_extract(path, r'^/([^/]*)', 1)"}
-        get |= {"segments": "cast(length(path) - length(replace(path, '/', '')) AS int)", "variable_1": "regexp_like(seg1, r'^[0-9]+([.][a-z]+)?$|[0-9][0-9][0-9][0-9]') OR length(seg1) >= 40"}
-        text = _SQL.replace("1.0 *", "1D *").replace("+ 1.0)", "+ 1D)").replace("+ 2.0)", "+ 2D)")
-    else:
-        get = {"find_start": "coalesce(instr(url, '://'), 0)", "host": "regexp_extract(rest, '^[^/?#]*', 0)", "path": "regexp_extract(rest, '^[^/?#]*([^?#]*)', 1)", "segment_1": "regexp_extract(path, '^/([^/]*)', 1)"}
-        get |= {"segments": "CAST(length(path) - length(replace(path, '/', '')) AS INTEGER)", "variable_1": "regexp_matches(seg1, '^[0-9]+([.][a-z]+)?$|[0-9][0-9][0-9][0-9]') OR length(seg1) >= 40"}
-        text = _SQL.replace("1.0 *", "1::DOUBLE *").replace("+ 1.0)", "+ 1::DOUBLE)").replace("+ 2.0)", "+ 2::DOUBLE)")
-    for word, value in {**get, **rules}.items():
-        text = text.replace("{" + word + "}", str(value))
+    words, number = dict(_DIALECTS[spark]), _DIALECTS[spark]["double"].format
+    matches, raw = words.pop("matches"), words.pop("raw")
+    del words["double"]
+    variable = lambda c: f"{matches}{c}, {raw}'^[0-9]+([.][a-z]+)?$|[0-9][0-9][0-9][0-9]') OR length({c}) >= 40"
+    share = f"(h.bad + {number(1)}) / (h.known + {number(2)})"
+    words |= {
+        "rule_cases": rule_cases,
+        "verdict_cases": verdict_cases,
+        "pages": pages,
+        "find_start": "coalesce(instr(url, '://'), 0)",
+        "segments": "CAST(length(path) - length(replace(path, '/', '')) AS INT)",
+        "variable_1": variable("seg1"),
+        "variable_2": variable("seg2"),
+        "similar_b_h": f"b.known = 0 OR abs({number(1)} * b.bad / b.known - {share}) <= {number(SIMILAR)} * sqrt({share} * (1 - {share}) / b.known)",
+        "smoothing": number(SMOOTHING),
+        "purity": str(PURITY),
+    }
+    text = _SQL.replace("+ 1.0)", f"+ {number(1)})").replace("+ 2.0)", f"+ {number(2)})")
+    for word, value in words.items():
+        text = text.replace("{" + word + "}", value)
     return text if spark else text.replace("endswith(", "ends_with(").replace("startswith(", "starts_with(")
 
 
