@@ -55,11 +55,12 @@ class Plan:
         return cls(words, 64, 4, (tuple(range(0, 21)), tuple(range(21, 42)), tuple(range(42, 64))))
 
     @classmethod
-    def similar(cls, words: int = 5, bits: int = 256, limit: int = 48, projections: int = 24, size: int = 20, seed: int = 5) -> Plan:
+    def similar(cls, words: int = 5, bits: int = 256, limit: int = 48, projections: int = 32, size: int = 18, seed: int = 5) -> Plan:
         """A Jaccard similarity of 0.8 changes 39 of 256 bits on average, with a deviation of 6.
 
-        Two fingerprints at that distance meet in one of 24 trees (20 bits, radius 1) with
-        a probability of 0.99; unlike texts differ in 128 bits, with a deviation of 8.
+        Two fingerprints at that distance meet in one of 32 trees (18 bits, radius 1) with
+        a probability of 0.999, and with one of 0.98 at 48 bits; unlike texts differ in 128
+        bits, with a deviation of 8.
         """
         rng = np.random.default_rng(seed)
         return cls(words, bits, limit, tuple(tuple(sorted(rng.choice(bits, size, replace=False).tolist())) for _ in range(projections)))
