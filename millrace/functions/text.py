@@ -49,3 +49,18 @@ def one_of(c: Column, values: list[str], default: str) -> Column:
 
 def without_space(c: Column) -> Column:
     return F.regexp_replace(c, r"\s+", "")
+
+
+def json_like(value: Column, query: str) -> Column:
+    """Whether a value's JSON text, keys included, is like ``query``; % and _ keep their meaning."""
+    return F.to_json(value).ilike(f"%{query}%")
+
+
+def role_name(claims: Column) -> Column:
+    """The name of the role in a JSON object of claims; null where there is none or the text is no JSON."""
+    return F.try_variant_get(F.try_parse_json(claims), "$.role.name", "string")
+
+
+def claim_authorities(claims: Column) -> Column:
+    """The authorities that a JSON object of claims lists, empty where it lists none."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(claims), "$.authorities", "array<string>"), F.array().cast("array<string>"))

@@ -91,3 +91,30 @@ def readable_rows(rows: DataFrame, definitions: DataFrame, authorities: Column)
 def usable(users: DataFrame) -> DataFrame:
     """Enabled and not blocked."""
     return users.where(F.coalesce("enabled", F.lit(False)) & ~F.coalesce("blocked", F.lit(False)))
+
+
+def owned(rows: DataFrame, user_id: int, column: str = "user_id") -> DataFrame:
+    """The rows that belong to a user."""
+    return rows.where(F.col(column) == user_id)
+
+
+def member_rows(rows: DataFrame, members: DataFrame, user_id: int) -> DataFrame:
+    """Rows (conversation_id, ...) of conversations that a user is a member of."""
+    return rows.join(members.where(F.col("user_id") == user_id).select("conversation_id"), "conversation_id", "left_semi")
+
+
+def active_roles(users: DataFrame, roles: DataFrame, allowed: Column, fallback: str) -> DataFrame:
+    """(id, role) for users (id, last_role): the last role if held and ``allowed``, else the smallest allowed one, else ``fallback``.
+
+    roles: id, role; ``allowed`` is a predicate on role, the policy of the application.
+    """
+    held = roles.where(allowed).groupBy("id").agg(F.collect_set("role").alias("held"))
+    last = F.when(F.array_contains("held", F.col("last_role")), F.col("last_role"))
+    return users.join(held, "id", "left").select("id", F.coalesce(last, F.array_min("held"), F.lit(fallback)).alias("role"))
+
+
+def linked_accounts(users: DataFrame, logins: DataFrame, provider: str) -> DataFrame:
+    """Users (email, <provider>_id) after social logins (email, subject): known e-mails get the id, others are added."""
+    column = f"{provider}_id"
+    once = logins.groupBy("email").agg(F.min("subject").alias("__subject"))
+    return users.join(once, "email", "full").withColumn(column, F.coalesce("__subject", column)).drop("__subject")

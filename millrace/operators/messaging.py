@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.crypto import decrypted
 
@@ -33,7 +34,8 @@ def search(conversations: DataFrame, members: DataFrame, users: DataFrame, user_
         .select(F.col("conversation_id").alias("id"), F.lit(True).alias("__named"))
         .distinct()
     )
-    title = F.when(F.col("type") == "GROUP", F.call_function("ilike", F.col("title"), like))
+    words = F.to_json("title") if isinstance(mine.schema["title"].dataType, T.MapType) else F.col("title")
+    title = F.when(F.col("type") == "GROUP", F.call_function("ilike", words, like))
     return mine.join(partners, "id", "left").where(F.coalesce(title, F.lit(False)) | ((F.col("type") == "DIRECT") & F.coalesce("__named", F.lit(False)))).drop("__named")
 
 

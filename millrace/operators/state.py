@@ -105,3 +105,9 @@ def completed(uploads: DataFrame, names: DataFrame) -> DataFrame:
     """Pending uploads (file_name, status) that have arrived are completed."""
     done = names.select("file_name", F.lit(True).alias("__done")).distinct()
     return uploads.join(done, "file_name", "left").withColumn("status", F.when(F.col("__done") & (F.col("status") == "PENDING"), "COMPLETED").otherwise(F.col("status"))).drop("__done")
+
+
+def key_changes(old: DataFrame, new: DataFrame, key: str = "key", by: str = "id") -> DataFrame:
+    """The updates that would change a definition's key, which is not allowed."""
+    before = old.select(by, F.col(key).alias("__before"))
+    return new.join(before, by).where(~F.col(key).eqNullSafe(F.col("__before"))).drop("__before")
