@@ -135,7 +135,7 @@ def _cut(keys: np.ndarray, rng: np.random.Generator) -> tuple[int, int] | None:
 
 
 def _plant(keys: np.ndarray, levels: int, rng: np.random.Generator) -> list | None:
-    """A tree as [vantage point, distance, left, right]; None is a leaf."""
+    """A tree as [vantage point, distance, left, right]; None where the sample ends."""
     if levels == 0 or len(keys) < 32 or (cut := _cut(keys, rng)) is None:
         return None
     left = np.bitwise_count(keys ^ np.uint32(cut[0])) <= cut[1]
@@ -153,18 +153,24 @@ def _divide(v: int, m: int, radius: int, keys: np.ndarray, home: np.ndarray, gue
     return (home[dh <= m], np.concatenate((guest[dg <= m + radius], over))), (home[dh > m], guest[dg > m - radius])
 
 
-def _route(tree, keys: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(leaf, home, guest) for each leaf that gets something."""
+def _route(tree, keys: np.ndarray, radius: int, levels: int, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(leaf, home, guest) for each leaf that gets something.
+
+    Below the planted nodes a node's number gives its vantage point, and half the bits
+    its distance, so that a tree of any depth needs no more memory than the sample.
+    """
     todo = [(tree, 1, np.arange(len(keys)), np.zeros(0, dtype=np.int64))]
     while todo:
         node, number, home, guest = todo.pop()
         if not len(home) and not len(guest):
             continue
-        if node is None:
+        if node is None and number.bit_length() > levels:
             yield number, home, guest
-        else:
-            left, right = _divide(node[0], node[1], radius, keys, home, guest)
-            todo += [(node[2], 2 * number, *left), (node[3], 2 * number + 1, *right)]
+            continue
+        if node is None:
+            node = [int(_mixed(np.array([number], dtype=np.uint64))[0]) & ((1 << bits) - 1), (bits - 1) // 2, None, None]
+        left, right = _divide(node[0], node[1], radius, keys, home, guest)
+        todo += [(node[2], 2 * number, *left), (node[3], 2 * number + 1, *right)]
 
 
 def forest(fps: np.ndarray, n_home: int, keys: np.ndarray, limit: int, radius: int) -> np.ndarray:
@@ -222,7 +228,7 @@ def links(nodes: DataFrame, plan: Plan) -> DataFrame:
                 continue
             fps = _stack(batch.column(1).to_pylist(), plan)
             for i, (tree, projection) in enumerate(zip(trees, plan.projections)):
-                for leaf, home, guest in _route(tree, _keys(fps, projection), plan.radius):
+                for leaf, home, guest in _route(tree, _keys(fps, projection), plan.radius, levels, len(projection)):
                     at = pa.array(np.concatenate((home, guest)))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(at), i, dtype=np.int32)), pa.array(np.full(len(at), leaf, dtype=np.int64)), pa.array(np.arange(len(at)) < len(home)), batch.column(0).take(at), batch.column(1).take(at)],
