@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, free, let, saved, table
+from millrace.llm.common import SPACE_RUN, WORD, free, let, saved, table
 
 #: Leading tokens that lead to a leaf.
 DEPTH = 3
@@ -26,18 +26,32 @@ CONSTANT = 0.75
 NUMBERED = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 
 
-def _tokens(line: Column) -> Column:
-    return F.regexp_extract_all(F.regexp_replace(line, NUMBERED, "<*>"), F.lit(f"({WORD})"), 1)
+def _masked(line: Column) -> Column:
+    """The tokens of a line, joined by single spaces, those with digits masked.
+
+    Regular expressions run on the few lines that need them.
+    """
+    single = F.when(line.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(line, SPACE_RUN, " ")).otherwise(line)
+    trimmed = F.trim(single)
+    return F.when(trimmed.rlike("[0-9]"), F.regexp_replace(trimmed, NUMBERED, "<*>")).otherwise(trimmed)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, i, tokens) for every line with a word; h tells texts of one id apart."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    return rows.select("doc_id", "h", "i", _tokens(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
+    """(doc_id, h, i, masked) for every line with a word; h tells texts of one id apart.
+
+    The digest and the lines of a text are taken below the generator, once a document.
+    """
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.split("text", "\n").alias("lines"))
+    lines = rows.select("doc_id", "h", F.posexplode("lines").alias("i", "line"))
+    return lines.select("doc_id", "h", "i", _masked(F.col("line")).alias("masked")).where("masked != ''")
 
 
-def _leaf(tokens: Column) -> Column:
-    return F.xxhash64(F.size(tokens), F.array_join(F.slice(tokens, 1, DEPTH), " "))
+def _size(masked: Column) -> Column:
+    return F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit(""))) + 1
+
+
+def _leaf(masked: Column) -> Column:
+    return F.xxhash64(_size(masked), F.substring_index(masked, " ", DEPTH))
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -45,17 +59,15 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
     Documents are told apart by id and text, so that repeated rows count once.
     """
-    keyed = _lines(docs).select(
-        "doc_id", "h", "i", let(F.col("tokens"), lambda t: F.struct(_leaf(t).alias("leaf"), F.xxhash64(F.array_join(t, " ")).alias("line"), F.size(t).alias("n"))).alias("k")
-    )
-    lines = saved(keyed.select("doc_id", "h", "i", "k.leaf", "k.line", "k.n"), "lines")
+    masked = F.col("masked")
+    lines = saved(_lines(docs).select("doc_id", "h", "i", _leaf(masked).alias("leaf"), F.xxhash64(masked).alias("line"), _size(masked).alias("n")), "lines")
     once = lines.groupBy("doc_id", "h", "leaf", "line").agg(F.min("i").alias("i"), F.first("n").alias("n"))
     counted = saved(once.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), F.first("n").alias("n")), "counted")
     # leaves in which something can be generalised: several lines, in enough documents
     leaves = counted.where(F.col("n") >= MIN_TOKENS).groupBy("leaf").agg(F.sum("docs").alias("all"), F.count(F.lit(1)).alias("kinds")).where((F.col("all") >= min_docs) & (F.col("kinds") > 1))
     open_lines = counted.join(leaves, "leaf", "left_semi").select("leaf", "line", "docs")
-    worded = _lines(docs).select(F.xxhash64(F.array_join("tokens", " ")).alias("line"), "tokens")
-    held = open_lines.join(worded, "line").groupBy("leaf", "line").agg(F.first("docs").alias("docs"), F.first("tokens").alias("tokens"))
+    worded = _lines(docs).select(F.xxhash64(masked).alias("line"), "masked")
+    held = open_lines.join(worded, "line").groupBy("leaf", "line").agg(F.first("docs").alias("docs"), F.split(F.first("masked"), " ").alias("tokens"))
     held = saved(held, "open")
     placed = held.select("leaf", "line", "docs", F.posexplode("tokens").alias("at", "token"))
     frequent = placed.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("all")).where(F.col("all") >= min_docs).select("leaf", "at", "token", F.lit(True).alias("frequent"))
