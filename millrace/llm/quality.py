@@ -108,7 +108,9 @@ def clean(df: DataFrame, text: str = "text") -> DataFrame:
     )
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT)
     out = out.withColumn("base_failed", failed).withColumn("kept_words", long(F.regexp_count("clean_text", F.lit(WORD))))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("kept_words") >= KEPT_SHARE * F.col("n_words"))).select(*df.columns, *new)
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("kept_words") >= KEPT_SHARE * F.col("n_words")))
+    # through a generator, as a later filter on the results would otherwise be pushed below and compute them again
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.inline(F.array(F.struct(*new))))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
