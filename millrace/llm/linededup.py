@@ -81,7 +81,8 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         return df.join(templates, ["leaf", "line"], "left").withColumn("template", F.coalesce("template", "line"))
 
     support = named(once).groupBy("template", "doc_id", "h").agg(F.min("i").alias("i")).groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc_id", "h", "i")).alias("first"))
-    support = support.where(F.col("docs") >= min_docs).drop("docs")
+    # written, so that the join below reads both sides from shuffles: then a hot template's rows can be split over tasks
+    support = saved(support.where(F.col("docs") >= min_docs).drop("docs"), "support")
     found = named(lines).join(support, "template")
     return found.where(~F.struct("doc_id", "h", "i").eqNullSafe(F.col("first"))).select("doc_id", "h", "i")
 
