@@ -46,12 +46,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the document with the smallest id stays, once; rows without an id stay.
 
-    Five words a shingle and a similarity of 0.8: 256-bit fingerprints within 48 bits.
+    Linked are sets of five-word shingles with a similarity of 0.8 or more, exactly.
     """
     held = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    found = simhash.groups(_packed(docs), simhash.Plan.similar())
-    stay = saved(found.where("doc_id = component_id").select("doc_id").distinct(), "stay")
-    kept = held.join(stay, "doc_id", "left_semi")
+    some = held.where(F.col("doc_id").isNotNull()).select("doc_id", "__row", "text")
+    found = simhash.alike(some, simhash.Plan.candidates(), "__row").join(some.select("doc_id", F.col("__row").alias("key")).distinct(), "key")
+    stay = saved(found.groupBy("component").agg(F.min(F.struct("doc_id", "key"))["key"].alias("__row")), "stay")
+    kept = held.where(F.col("doc_id").isNotNull()).join(stay, "__row", "left_semi")
     # an id may occur in several rows; the one with the smallest digest stands for them
     several = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     single = kept.join(several, "doc_id", "left_anti")

@@ -14,12 +14,15 @@ A tree sends every fingerprint home to one shard, and as a guest to those shards
 boundary lies within the radius (the triangle bound): |d(x,v) - d(y,v)| <= d(x,y). A
 shard is searched by a tree of its own, down to small leaves. It returns a spanning
 forest of the links found, never all pairs of a group.
+
+Where a similarity is asked for (``alike``), fingerprints only name candidates; a pair is
+a link if the shingle sets themselves are that similar.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ SHARD = 40_000
 #: Fingerprints that choose vantage points and medians; they decide the balance of shards, never a result.
 SAMPLE = 20_000
 LEAF = 192
+#: Sets are alike if they share at least 4 / 5 of their union.
+SHARED, UNION = 4, 5
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -65,13 +70,17 @@ class Plan:
         rng = np.random.default_rng(seed)
         return cls(words, bits, limit, tuple(tuple(sorted(rng.choice(bits, size, replace=False).tolist())) for _ in range(projections)))
 
+    @classmethod
+    def candidates(cls) -> Plan:
+        """Candidates for a similarity of 0.8, to be checked exactly: 60 bits leave 3.5 deviations of room."""
+        return replace(cls.similar(), limit=60)
 
-def fingerprint(text: str | None, words: int, bits: int) -> np.ndarray:
-    """The fingerprint as bits // 64 unsigned integers; bits beyond the first 64 come from mixing the hashes again."""
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The hashes of a text's shingles, in their order; a text of ``words`` words or fewer is one shingle."""
     w = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    parts = bits // 64
     if not w:
-        return np.zeros(parts, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(w)
     if len(w) <= words:
         hashes = [xxhash.xxh64_intdigest(joined, 42)]
@@ -80,8 +89,18 @@ def fingerprint(text: str | None, words: int, bits: int) -> np.ndarray:
         starts = [0, *ends[: len(w) - words].tolist()]
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], 42) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())]
-    h = np.array(hashes, dtype=np.uint64)
+    return np.array(hashes, dtype=np.uint64)
+
+
+def fingerprint(text: str | None, words: int, bits: int) -> np.ndarray:
+    """The fingerprint as bits // 64 unsigned integers; bits beyond the first 64 come from mixing the hashes again."""
+    return _folded(shingles(text, words), bits // 64)
+
+
+def _folded(h: np.ndarray, parts: int) -> np.ndarray:
     out = np.zeros(parts, dtype=np.uint64)
+    if not len(h):
+        return out
     for p in range(parts):
         if p:
             h = _mixed(h)
@@ -198,21 +217,64 @@ def forest(fps: np.ndarray, n_home: int, keys: np.ndarray, limit: int, radius: i
                     met = np.append(met, mine)
                     label[np.isin(label, met)] = met.min()
 
-    todo = [(np.arange(n_home), np.arange(n_home, len(fps)))]
+    for home, other in _leaves(n_home, keys, radius, rng):
+        compare(home, other)
+    return label
+
+
+def _leaves(n_home: int, keys: np.ndarray, radius: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(home, home and guests) of every leaf of a shard."""
+    todo = [(np.arange(n_home), np.arange(n_home, len(keys)))]
     while todo:
         home, guest = todo.pop()
         if not len(home):
             continue
         cut = _cut(keys[home], rng) if len(home) > LEAF else None
         if cut is None:
-            compare(home, np.concatenate((home, guest)))
+            yield home, np.concatenate((home, guest))
         else:
             todo += list(_divide(*cut, radius, keys, home, guest))
-    return label
 
 
-def links(nodes: DataFrame, plan: Plan) -> DataFrame:
-    """Edges (a, b) that connect what ``plan`` links among ``nodes`` (rep long, fp binary; one row a fingerprint)."""
+def pairs(fps: np.ndarray, n_home: int, keys: np.ndarray, size: np.ndarray, label: np.ndarray, limit: int, radius: int, every: bool) -> np.ndarray:
+    """Candidate pairs (rows of two places) of different labels: all of them, or a spanning forest of the nearest in each leaf.
+
+    Sets whose sizes alone keep them below the similarity are no candidates.
+    """
+    label = label.copy()
+    found = [np.zeros((0, 2), dtype=np.int64)]
+    for home, other in _leaves(n_home, keys, radius, np.random.default_rng(len(fps))):
+        step = max(1, (1 << 19) // len(other))
+        y = fps[other]
+        for lo in range(0, len(home), step):
+            some = home[lo : lo + step]
+            d = np.bitwise_count(fps[some, 0][:, None] ^ y[None, :, 0]).astype(np.uint16)
+            for p in range(1, fps.shape[1]):
+                d += np.bitwise_count(fps[some, p][:, None] ^ y[None, :, p])
+            i, j = np.nonzero(d <= limit)
+            near, a, b = d[i, j], some[i], other[j]
+            fit = (label[a] != label[b]) & (UNION * np.minimum(size[a], size[b]) >= SHARED * np.maximum(size[a], size[b]))
+            near, a, b = near[fit], a[fit], b[fit]
+            if every:
+                found.append(np.unique(np.column_stack((np.minimum(a, b), np.maximum(a, b))), axis=0))
+                continue
+            order = np.argsort(near, kind="stable")
+            a, b = a[order], b[order]
+            while len(a):
+                # the nearest pair of every label, until no pair leads from one label to another
+                _, first = np.unique(np.column_stack((label[a], label[b])), return_index=True)
+                for k in np.unique(first // 2).tolist():
+                    x, z = label[a[k]], label[b[k]]
+                    if x != z:
+                        label[label == max(x, z)] = min(x, z)
+                        found.append(np.array([[a[k], b[k]]]))
+                apart = label[a] != label[b]
+                a, b = a[apart], b[apart]
+    return np.concatenate(found)
+
+
+def _routed(nodes: DataFrame, plan: Plan) -> DataFrame:
+    """``nodes`` (rep long, fp binary, and more) dealt to the shards of all trees: tree, leaf, home and their columns."""
     spark = nodes.sparkSession
     ship(spark)
     n = nodes.count()
@@ -231,10 +293,16 @@ def links(nodes: DataFrame, plan: Plan) -> DataFrame:
                 for leaf, home, guest in _route(tree, _keys(fps, projection), plan.radius, levels, len(projection)):
                     at = pa.array(np.concatenate((home, guest)))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), i, dtype=np.int32)), pa.array(np.full(len(at), leaf, dtype=np.int64)), pa.array(np.arange(len(at)) < len(home)), batch.column(0).take(at), batch.column(1).take(at)],
-                        ["tree", "leaf", "home", "rep", "fp"],
+                        [pa.array(np.full(len(at), i, dtype=np.int32)), pa.array(np.full(len(at), leaf, dtype=np.int64)), pa.array(np.arange(len(at)) < len(home)), *[c.take(at) for c in batch.columns]],
+                        ["tree", "leaf", "home", *batch.schema.names],
                     )
 
+    return nodes.mapInArrow(route, "tree int, leaf long, home boolean, " + ", ".join(f"{n} {t}" for n, t in nodes.dtypes))
+
+
+def links(nodes: DataFrame, plan: Plan) -> DataFrame:
+    """Edges (a, b) that connect what ``plan`` links among ``nodes`` (rep long, fp binary; one row a fingerprint)."""
+
     def search(key, shard):
         shard = shard.sort_by([("home", "descending"), ("rep", "ascending"), ("fp", "ascending")])
         rep = shard.column("rep").to_numpy()
@@ -243,8 +311,22 @@ def links(nodes: DataFrame, plan: Plan) -> DataFrame:
         linked = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"a": rep[linked], "b": rep[label[linked]]})
 
-    routed = nodes.select("rep", "fp").mapInArrow(route, "tree int, leaf long, home boolean, rep long, fp binary")
-    return routed.groupBy("tree", "leaf").applyInArrow(search, "a long, b long")
+    return _routed(nodes.select("rep", "fp"), plan).groupBy("tree", "leaf").applyInArrow(search, "a long, b long")
+
+
+def _candidates(nodes: DataFrame, plan: Plan, every: bool) -> DataFrame:
+    """Pairs (a, b), a < b, of ``nodes`` (rep, fp, size, label) that ``plan`` finds near each other and whose labels differ."""
+
+    def search(key, shard):
+        shard = shard.sort_by([("home", "descending"), ("rep", "ascending")])
+        rep = shard.column("rep").to_numpy()
+        fps = _stack(shard.column("fp").to_pylist(), plan)
+        _, label = np.unique(shard.column("label").to_numpy(), return_inverse=True)
+        n_home = int(np.count_nonzero(shard.column("home").to_numpy()))
+        at = rep[pairs(fps, n_home, _keys(fps, plan.projections[key[0].as_py()]), shard.column("size").to_numpy(), label, plan.limit, plan.radius, every)]
+        return pa.table({"a": at.min(axis=1), "b": at.max(axis=1)})
+
+    return _routed(nodes.select("rep", "fp", "size", "label"), plan).groupBy("tree", "leaf").applyInArrow(search, "a long, b long").distinct()
 
 
 def groups(df: DataFrame, plan: Plan, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -269,6 +351,64 @@ def _same_id(marked: DataFrame, nodes: DataFrame) -> DataFrame:
     return held.join(held.groupBy("doc_id").agg(F.min("rep").alias("least")), "doc_id").select(F.col("rep").alias("a"), F.col("least").alias("b"))
 
 
+def _signatures(df: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
+    """(key, fp, size, digest) of the shingle set of every row: a repeated shingle counts once."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.unique(shingles(t, plan.words)) for t in batch.column(1).to_pylist()]
+            fps = [_folded(h, plan.bits // 64)[::-1].astype(">u8").tobytes() for h in held]
+            digests = [xxhash.xxh3_128_digest(h.tobytes()) for h in held]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array([len(h) for h in held], pa.int64()), pa.array(digests, pa.binary())], ["key", "fp", "size", "digest"])
+
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, fp binary, size long, digest binary")
+
+
+def _sets(df: DataFrame, plan: Plan) -> DataFrame:
+    """(rep, set) of ``df`` (rep, text)."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.unique(shingles(t, plan.words)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.list_(pa.int64()))], ["rep", "set"])
+
+    return df.select("rep", "text").mapInArrow(run, "rep long, set array<long>")
+
+
+def _checked(found: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of ``found`` (a, b) whose sets are alike."""
+    met = found.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b")
+    # shared / (x + y - shared) >= SHARED / UNION
+    return met.where((SHARED + UNION) * F.size(F.array_intersect("x", "y")) >= SHARED * (F.size("x") + F.size("y"))).select("a", "b")
+
+
+def alike(df: DataFrame, plan: Plan, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, component) for every key of ``df``, once: rows are linked if their shingle sets have a similarity of 0.8 or more.
+
+    ``key`` (long) is not null and names one text. Fingerprints only propose pairs. First a spanning
+    forest of them is checked; where the links that hold leave a group of candidates in
+    several parts, all candidates between those parts are checked too, so that a link
+    lost with the forest's other pairs is found again.
+    """
+    marked = saved(_signatures(df, plan, key, text), "signatures")
+    nodes = saved(marked.groupBy("digest").agg(F.min("key").alias("rep"), F.first("fp").alias("fp"), F.first("size").alias("size")), "nodes")
+    tried = saved(_candidates(nodes.withColumn("label", F.col("rep")), plan, False), "candidates")
+    reached = saved(components(tried), "reached")
+    texts = df.select(F.col(key).alias("rep"), F.col(text).alias("text")).join(reached.select(F.col("node").alias("rep")), "rep", "left_semi").dropDuplicates(["rep"])
+    sets = saved(_sets(texts, plan), "sets")
+    held = saved(_checked(tried, sets), "links")
+    parts = saved(reached.join(components(held).select("node", F.col("root").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node")), "parts")
+    broken = parts.groupBy("root").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("root")
+    rest = parts.join(broken, "root", "left_semi").select(F.col("node").alias("rep"), F.col("part").alias("label"))
+    rest = saved(nodes.join(rest, "rep").select("rep", "fp", "size", "label"), "rest")
+    more = _checked(_candidates(rest, plan, True).join(tried, ["a", "b"], "left_anti"), sets)
+    roots = components(held.unionByName(more))
+    named = nodes.join(roots, nodes["rep"] == roots["node"], "left").select("digest", F.coalesce("root", "rep").alias("component"))
+    return marked.select("key", "digest").distinct().join(named, "digest").select("key", "component")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 4 words, 64 bits, 4 of them different at most."""
     found = groups(table(spark, sf_dir, "documents").select("doc_id", "text"), Plan.exact())
