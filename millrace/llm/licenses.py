@@ -1,8 +1,8 @@
 """License scans by ordered signature rules.
 
-A rule is a regular expression over the words of a text, with a keyword that gates it, a
-label, a priority and a confidence. Most documents hold none of the few gate words and
-are passed by; in the others only rules whose keyword occurs are run. Detections that
+A rule is a regular expression over the words of a text, with a gate and a keyword that
+every match of it holds, a label, a priority and a confidence. Most documents hold none of
+the few gates and are passed by; in the others only rules whose gate and keyword occur are run. Detections that
 lie inside another one are suppressed, and of two that overlap the one of the better
 priority stays.
 """
@@ -23,9 +23,6 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases and labels: fixed values of the contract.
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
-#: A document without any of these holds nothing that a rule could find.
-GATES = ["licen", "copyright", "all rights reserved", "public domain", "as is", "redistribution and use", "cc"]
-
 _V = r"(?: version| v)? ?"
 #: label, keyword, names (over lower-cased words); versions are separate words, as points divide words.
 NAMES = [
@@ -103,31 +100,37 @@ NAMES = [
 ]
 
 _UNDER = r"under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
-#: What may stand around a name, from the most to the least telling: expression, priority, confidence.
+#: What may stand around a name, from the most to the least telling: gate, expression, priority, confidence.
 FORMS = [
-    (r"spdx license identifier {name}", 1, 1.0),
-    (rf"(?:licen[cs]ed|released|distributed|available|published|provided|offered) (?:to you )?{_UNDER}{{name}}(?: licen[cs]e)?", 2, 0.95),
-    (rf"{_UNDER}{{name}}(?: licen[cs]e)?", 3, 0.9),
-    (r"licen[cs]ed? (?:is )?{name}", 4, 0.7),
-    (r"{name} licen[cs]e[ds]?", 5, 0.6),
+    ("spdx license identifier", r"spdx license identifier {name}", 1, 1.0),
+    ("under", rf"(?:licen[cs]ed|released|distributed|available|published|provided|offered) (?:to you )?{_UNDER}{{name}}(?: licen[cs]e)?", 2, 0.95),
+    ("under", rf"{_UNDER}{{name}}(?: licen[cs]e)?", 3, 0.9),
+    ("licen", r"licen[cs]ed? (?:is )?{name}", 4, 0.7),
+    ("licen", r"{name} licen[cs]e[ds]?", 5, 0.6),
 ]
+#: Label, keyword, gate, expression, priority, confidence.
 OTHERS = [
-    ("proprietary", "reserved", r"all rights reserved", 6, 0.5),
-    ("copyright-notice", "copyright", r"copyright(?: c)? (?:19|20)[0-9][0-9]", 6, 0.4),
-    ("public-domain", "public domain", r"(?:in|to|into) the public domain", 6, 0.7),
-    ("warranty-disclaimer", "warrant", r"as is without (?:any )?warrant(?:y|ies)", 7, 0.3),
-    ("bsd", "redistribution", r"redistribution and use in source and binary forms", 2, 0.9),
-    ("mit", "permission", r"permission is hereby granted free of charge to any person", 2, 0.95),
+    ("proprietary", "reserved", "all rights reserved", r"all rights reserved", 6, 0.5),
+    ("copyright-notice", "copyright", "copyright", r"copyright(?: c)? (?:19|20)[0-9][0-9]", 6, 0.4),
+    ("public-domain", "public domain", "the public domain", r"(?:in|to|into) the public domain", 6, 0.7),
+    ("warranty-disclaimer", "warrant", "as is without", r"as is without (?:any )?warrant(?:y|ies)", 7, 0.3),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms", r"redistribution and use in source and binary forms", 2, 0.9),
+    ("mit", "permission", "permission is hereby granted free of charge to any person", r"permission is hereby granted free of charge to any person", 2, 0.95),
 ]
 
 
 def rules() -> list[dict]:
     """All rules, in their order."""
-    made = [(label, word, form.replace("{name}", f"(?:{name})"), priority, confidence) for form, priority, confidence in FORMS for label, word, name in NAMES]
-    return [{"id": i, "kw": k, "re": f" ({x})(?= )", "label": n, "priority": p, "confidence": c} for i, (n, k, x, p, c) in enumerate([*made, *OTHERS])]
+    made = [(label, word, gate, form.replace("{name}", f"(?:{name})"), priority, confidence) for gate, form, priority, confidence in FORMS for label, word, name in NAMES]
+    return [{"id": i, "gate": g, "kw": k, "re": f" ({x})(?= )", "label": n, "priority": p, "confidence": c} for i, (n, k, g, x, p, c) in enumerate([*made, *OTHERS])]
+
+
+def gates() -> list[str]:
+    """A row of words without any of these, each at the beginning of a word, holds nothing that a rule or a phrase could find."""
+    return sorted({r["gate"] for r in rules()} | {phrase for phrase, _ in BASE})
 
 
-_RULE_TYPE = "array<struct<id:int,kw:string,re:string,label:string,priority:int,confidence:double>>"
+_RULE_TYPE = "array<struct<id:int,gate:string,kw:string,re:string,label:string,priority:int,confidence:double>>"
 
 
 def _spans(words: Column, pattern: Column) -> Column:
@@ -176,8 +179,9 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     value = F.coalesce(F.col(text), F.lit(""))
     table_of_rules = F.from_json(F.lit(json.dumps(rules())), _RULE_TYPE)
     low = F.lower(value)
+    # a gate of several words is looked for in the normalised words; what stands between them in the text may be anything
     gate = F.lit(False)
-    for word in GATES:
+    for word in sorted({max(g.split(), key=len) for g in gates()}):
         gate = gate | F.contains(low, F.lit(word))
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(value), BETWEEN, " ")), F.lit(" "))
 
@@ -189,7 +193,10 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
         return F.array_sort(F.concat(*each))
 
     def own(w: Column) -> Column:
-        tried = F.filter(table_of_rules, lambda r: F.contains(w, F.concat(F.lit(" "), r["kw"])) & F.regexp_like(w, r["re"]))
+        # each gate is looked for once a document, not once a rule
+        opened = F.filter(F.array(*[F.lit(g) for g in sorted({r["gate"] for r in rules()})]), lambda g: F.contains(w, F.concat(F.lit(" "), g)))
+        gated = let(opened, lambda o: F.filter(table_of_rules, lambda r: F.array_contains(o, r["gate"])))
+        tried = F.filter(gated, lambda r: F.contains(w, F.concat(F.lit(" "), r["kw"])) & F.regexp_like(w, r["re"]))
         hits = F.transform(
             tried,
             lambda r: F.transform(

@@ -1,11 +1,13 @@
 """Whole results: nothing lost by an estimate, a gate or an id."""
 
+import itertools
 import random
+import re._parser as parser
 
 import numpy as np
 
 import corpus_pipeline
-from millrace.llm import simhash
+from millrace.llm import licenses, simhash
 from tests.llm.test_brute import _smallest
 
 
@@ -53,3 +55,52 @@ def test_a_link_behind_a_false_candidate_is_found():
     tree = simhash.pairs(fps, 3, np.zeros(3, dtype=np.uint32), size, np.arange(3), 2, 1, False)
     assert sorted(map(sorted, tree.tolist())) == [[0, 1], [1, 2]]
     assert simhash.pairs(fps, 3, np.zeros(3, dtype=np.uint32), size, np.arange(3), 2, 1, True).tolist() == [[0, 1], [0, 2], [1, 2]]
+
+
+# --- licenses ------------------------------------------------------------------------
+
+
+def _expanded(pattern):
+    """Every text of a rule's expression; of a range of characters the first."""
+
+    def some(items):
+        return ["".join(x) for x in itertools.product(*[one(*i) for i in items])]
+
+    def one(kind, value):
+        match str(kind):
+            case "LITERAL":
+                return [chr(value)]
+            case "IN":
+                return [chr(v if str(k) == "LITERAL" else v[0]) for k, v in value]
+            case "BRANCH":
+                return [x for b in value[1] for x in some(b)]
+            case "SUBPATTERN":
+                return some(value[3])
+            case "MAX_REPEAT":
+                assert value[:2] == (0, 1)
+                return ["", *some(value[2])]
+            case "ASSERT":
+                return [""]
+        raise AssertionError(kind)
+
+    return sorted(set(some(parser.parse(pattern))))
+
+
+def test_every_rule_holds_its_gate():
+    forms = [(gate, form.replace("{name}", "name")) for gate, form, *_ in licenses.FORMS] + [(gate, x) for _, _, gate, x, *_ in licenses.OTHERS]
+    assert {gate for gate, _ in forms} == {r["gate"] for r in licenses.rules()} <= set(licenses.gates())
+    for gate, x in forms:
+        assert all(f" {gate}" in f" {text}" for text in _expanded(x)), gate
+
+
+def test_licenses_behind_no_gate_word(spark):
+    cases = {
+        "Released under the GPL v2.": "gpl-2.0",
+        "Distributed under the MIT.": "mit",
+        "Permission is hereby granted, free of charge, to any person": "mit",
+        "All Rights\nReserved": "proprietary",
+        "The work comes AS-IS, without warranty": "warranty-disclaimer",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id int, text string")
+    got = {r["text"]: [x["label"] for x in r["detections"]] for r in licenses.scan(df).collect()}
+    assert got == {t: [label] for t, label in cases.items()}
