@@ -24,15 +24,15 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
 _V = r"(?: version| v)? ?"
-#: label, keyword, names (over lower-cased words); versions are separate words, as points divide words.
+#: label, keyword (some word of every alternative begins with it, or with one of several between bars), names (over lower-cased words); versions are separate words, as points divide words.
 NAMES = [
     ("mit", "mit", r"(?:the )?mit(?: x11)?"),
     ("apache-1.1", "apache", rf"apache(?: software)?(?: license)?{_V}1 1"),
     ("apache-2.0", "apache", rf"apache(?: software)?(?: license)?{_V}2(?: 0)?"),
-    ("bsd-2-clause", "bsd", r"(?:simplified|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)(?: bsd)?"),
+    ("bsd-2-clause", "bsd|freebsd|simplified", r"(?:simplified|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)(?: bsd)?"),
     ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)"),
     ("bsd-4-clause", "bsd", r"(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)"),
-    ("0bsd", "0bsd", r"(?:0bsd|zero clause bsd)"),
+    ("0bsd", "0bsd|zero", r"(?:0bsd|zero clause bsd)"),
     ("isc", "isc", r"isc"),
     ("gpl-1.0", "g", rf"(?:gnu )?(?:general public license|gpl){_V}1(?: 0)?"),
     ("gpl-2.0", "g", rf"(?:gnu )?(?:general public license|gpl){_V}2(?: 0)?"),
@@ -50,7 +50,7 @@ NAMES = [
     ("cddl-1.0", "c", rf"(?:common development and distribution license|cddl){_V}1(?: 0)?"),
     ("eupl-1.1", "eu", rf"(?:european union public licen[cs]e|eupl){_V}1 1"),
     ("eupl-1.2", "eu", rf"(?:european union public licen[cs]e|eupl){_V}1 2"),
-    ("cc0-1.0", "cc", r"(?:cc0(?: 1 0)?|creative commons zero)"),
+    ("cc0-1.0", "c", r"(?:cc0(?: 1 0)?|creative commons zero)"),
     ("cc-by", "c", r"(?:cc by|creative commons attribution)(?: (?:1|2|3|4) [05])?"),
     ("cc-by-sa", "c", r"(?:cc by sa|creative commons attribution share ?alike)(?: (?:1|2|3|4) [05])?"),
     ("cc-by-nd", "c", r"(?:cc by nd|creative commons attribution no ?derivatives)(?: (?:1|2|3|4) [05])?"),
@@ -73,7 +73,7 @@ NAMES = [
     ("ncsa", "illinois", r"(?:university of illinois|illinois ncsa)(?: open source)?"),
     ("upl-1.0", "universal", r"universal permissive"),
     ("ofl-1.1", "o", r"(?:sil )?(?:open font|ofl)"),
-    ("odbl-1.0", "od", r"(?:open database|odbl)"),
+    ("odbl-1.0", "o", r"(?:open database|odbl)"),
     ("odc-by", "data", r"open data commons attribution"),
     ("pddl", "public", r"public domain dedication"),
     ("ecl-2.0", "educational", r"educational community"),
@@ -122,7 +122,7 @@ OTHERS = [
 def rules() -> list[dict]:
     """All rules, in their order."""
     made = [(label, word, gate, form.replace("{name}", f"(?:{name})"), priority, confidence) for gate, form, priority, confidence in FORMS for label, word, name in NAMES]
-    return [{"id": i, "gate": g, "kw": k, "re": f" ({x})(?= )", "label": n, "priority": p, "confidence": c} for i, (n, k, g, x, p, c) in enumerate([*made, *OTHERS])]
+    return [{"id": i, "gate": g, "kw": k.split("|"), "re": f" ({x})(?= )", "label": n, "priority": p, "confidence": c} for i, (n, k, g, x, p, c) in enumerate([*made, *OTHERS])]
 
 
 def gates() -> list[str]:
@@ -130,7 +130,7 @@ def gates() -> list[str]:
     return sorted({r["gate"] for r in rules()} | {phrase for phrase, _ in BASE})
 
 
-_RULE_TYPE = "array<struct<id:int,gate:string,kw:string,re:string,label:string,priority:int,confidence:double>>"
+_RULE_TYPE = "array<struct<id:int,gate:string,kw:array<string>,re:string,label:string,priority:int,confidence:double>>"
 
 
 def _spans(words: Column, pattern: Column) -> Column:
@@ -196,7 +196,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
         # each gate is looked for once a document, not once a rule
         opened = F.filter(F.array(*[F.lit(g) for g in sorted({r["gate"] for r in rules()})]), lambda g: F.contains(w, F.concat(F.lit(" "), g)))
         gated = let(opened, lambda o: F.filter(table_of_rules, lambda r: F.array_contains(o, r["gate"])))
-        tried = F.filter(gated, lambda r: F.contains(w, F.concat(F.lit(" "), r["kw"])) & F.regexp_like(w, r["re"]))
+        tried = F.filter(gated, lambda r: F.exists(r["kw"], lambda k: F.contains(w, F.concat(F.lit(" "), k))) & F.regexp_like(w, r["re"]))
         hits = F.transform(
             tried,
             lambda r: F.transform(

@@ -104,3 +104,21 @@ def test_licenses_behind_no_gate_word(spark):
     df = spark.createDataFrame(list(enumerate(cases)), "doc_id int, text string")
     got = {r["text"]: [x["label"] for x in r["detections"]] for r in licenses.scan(df).collect()}
     assert got == {t: [label] for t, label in cases.items()}
+
+
+def test_every_alternative_holds_its_keyword():
+    rules = [*licenses.NAMES, *[(label, word, x) for label, word, _, x, *_ in licenses.OTHERS]]
+    lost = [(label, text) for label, words, x in rules for text in _expanded(x) if not any(f" {k}" in f" {text}" for k in words.split("|"))]
+    assert lost == []
+
+
+def test_names_without_their_old_keyword(spark):
+    cases = {
+        "Released under the FreeBSD license": "bsd-2-clause",
+        "Licensed under Zero Clause BSD": "0bsd",
+        "Licensed under Creative Commons Zero": "cc0-1.0",
+        "Licensed under the Open Database License": "odbl-1.0",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id int, text string")
+    got = {r["text"]: [x["label"] for x in r["detections"]] for r in licenses.scan(df).collect()}
+    assert got == {t: [label] for t, label in cases.items()}
