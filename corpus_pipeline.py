@@ -44,20 +44,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays, once; rows without an id stay.
+    """Of each component the row with the smallest id stays, once; rows without an id come last.
 
-    Linked are sets of five-word shingles with a similarity of 0.8 or more, exactly.
+    Linked are sets of five-word shingles with a similarity of 0.8 or more, exactly. Rows
+    are told apart by a digest of all columns, so that unlike texts of one id stay.
     """
     held = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    some = held.where(F.col("doc_id").isNotNull()).select("doc_id", "__row", "text")
-    found = simhash.alike(some, simhash.Plan.candidates(), "__row").join(some.select("doc_id", F.col("__row").alias("key")).distinct(), "key")
-    stay = saved(found.groupBy("component").agg(F.min(F.struct("doc_id", "key"))["key"].alias("__row")), "stay")
-    kept = held.where(F.col("doc_id").isNotNull()).join(stay, "__row", "left_semi")
-    # an id may occur in several rows; the one with the smallest digest stands for them
-    several = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    single = kept.join(several, "doc_id", "left_anti")
-    double = kept.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("__row", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])).alias("r"))
-    return single.select(*docs.columns).unionByName(double.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(docs.columns)])).unionByName(docs.where(F.col("doc_id").isNull()))
+    rows = held.groupBy(F.col("__row").alias("key")).agg(F.first("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
+    found = simhash.alike(held, simhash.Plan.candidates(), "__row").join(rows, "key")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key", "n"))
+    stay = saved(found.groupBy("component").agg(first.alias("r")).select(F.col("r.key").alias("__row"), F.col("r.n").alias("__n")), "stay")
+    # of a row that is there several times one stays
+    single = held.join(stay.where("__n = 1"), "__row", "left_semi")
+    double = held.join(stay.where("__n > 1"), "__row", "left_semi").dropDuplicates(["__row"])
+    return single.unionByName(double).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

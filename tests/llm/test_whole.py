@@ -57,6 +57,13 @@ def test_a_link_behind_a_false_candidate_is_found():
     assert simhash.pairs(fps, 3, np.zeros(3, dtype=np.uint32), size, np.arange(3), 2, 1, True).tolist() == [[0, 1], [0, 2], [1, 2]]
 
 
+def test_near_dedup_goes_by_rows_not_by_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (2, a), (None, c), (None, c), (None, b)]
+    kept = corpus_pipeline.near_dedup(spark, _documents(spark, rows), "").collect()
+    assert sorted((str(r["doc_id"]), r["text"][0]) for r in kept) == [("1", "a"), ("1", "b"), ("None", "c")]
+
+
 # --- licenses ------------------------------------------------------------------------
 
 
