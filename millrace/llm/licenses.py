@@ -1,20 +1,25 @@
 """License scans by ordered signature rules.
 
-A rule is a regular expression over the words of a text, with a gate and a keyword that
-every match of it holds, a label, a priority and a confidence. Most documents hold none of
-the few gates and are passed by; in the others only rules whose gate and keyword occur are run. Detections that
-lie inside another one are suppressed, and of two that overlap the one of the better
-priority stays.
+The rules (``license_rules``) are regular expressions over the words of a text. Each has a
+keyword that begins a word in all that it can match: one search for the keywords leaves
+most texts out, and in the others only rules whose keyword occurs are run. So the
+keywords save work and change nothing; a test compares with a run of every rule.
+
+Detections are ranked by priority, then length, then place, then the order of the rules.
+In this order one is kept unless it lies inside a kept one or overlaps it. A detection
+that a suppressed one would have suppressed is kept.
 """
 
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import ascii_lower, free, let, table
+from millrace.llm.license_rules import rules
 
 #: Words of a text whose A-Z are not yet lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -23,198 +28,123 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases and labels: fixed values of the contract.
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
-_V = r"(?: version| v)? ?"
-#: label, keyword (some word of every alternative begins with it, or with one of several between bars), names (over lower-cased words); versions are separate words, as points divide words.
-NAMES = [
-    ("mit", "mit", r"(?:the )?mit(?: x11)?"),
-    ("apache-1.1", "apache", rf"apache(?: software)?(?: license)?{_V}1 1"),
-    ("apache-2.0", "apache", rf"apache(?: software)?(?: license)?{_V}2(?: 0)?"),
-    ("bsd-2-clause", "bsd|freebsd|simplified", r"(?:simplified|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)(?: bsd)?"),
-    ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)"),
-    ("bsd-4-clause", "bsd", r"(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)"),
-    ("0bsd", "0bsd|zero", r"(?:0bsd|zero clause bsd)"),
-    ("isc", "isc", r"isc"),
-    ("gpl-1.0", "g", rf"(?:gnu )?(?:general public license|gpl){_V}1(?: 0)?"),
-    ("gpl-2.0", "g", rf"(?:gnu )?(?:general public license|gpl){_V}2(?: 0)?"),
-    ("gpl-3.0", "g", rf"(?:gnu )?(?:general public license|gpl){_V}3(?: 0)?"),
-    ("gpl", "g", r"(?:gnu )?(?:general public license|gpl)"),
-    ("lgpl-2.0", "l", rf"(?:gnu )?(?:library general public license|lgpl){_V}2(?: 0)?"),
-    ("lgpl-2.1", "l", rf"(?:gnu )?(?:lesser general public license|lgpl){_V}2 1"),
-    ("lgpl-3.0", "l", rf"(?:gnu )?(?:lesser general public license|lgpl){_V}3(?: 0)?"),
-    ("agpl-3.0", "a", rf"(?:gnu )?(?:affero general public license|agpl){_V}3(?: 0)?"),
-    ("gfdl", "documentation", r"(?:gnu )?free documentation license"),
-    ("mpl-1.1", "m", rf"(?:mozilla public license|mpl){_V}1 1"),
-    ("mpl-2.0", "m", rf"(?:mozilla public license|mpl){_V}2(?: 0)?"),
-    ("epl-1.0", "e", rf"(?:eclipse public license|epl){_V}1(?: 0)?"),
-    ("epl-2.0", "e", rf"(?:eclipse public license|epl){_V}2(?: 0)?"),
-    ("cddl-1.0", "c", rf"(?:common development and distribution license|cddl){_V}1(?: 0)?"),
-    ("eupl-1.1", "eu", rf"(?:european union public licen[cs]e|eupl){_V}1 1"),
-    ("eupl-1.2", "eu", rf"(?:european union public licen[cs]e|eupl){_V}1 2"),
-    ("cc0-1.0", "c", r"(?:cc0(?: 1 0)?|creative commons zero)"),
-    ("cc-by", "c", r"(?:cc by|creative commons attribution)(?: (?:1|2|3|4) [05])?"),
-    ("cc-by-sa", "c", r"(?:cc by sa|creative commons attribution share ?alike)(?: (?:1|2|3|4) [05])?"),
-    ("cc-by-nd", "c", r"(?:cc by nd|creative commons attribution no ?derivatives)(?: (?:1|2|3|4) [05])?"),
-    ("cc-by-nc", "c", r"(?:cc by nc|creative commons attribution non ?commercial)(?: (?:1|2|3|4) [05])?"),
-    ("cc-by-nc-sa", "c", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: (?:1|2|3|4) [05])?"),
-    ("cc-by-nc-nd", "c", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?derivatives)(?: (?:1|2|3|4) [05])?"),
-    ("artistic-1.0", "artistic", rf"artistic(?: license)?{_V}1(?: 0)?"),
-    ("artistic-2.0", "artistic", rf"artistic(?: license)?{_V}2(?: 0)?"),
-    ("zlib", "zlib", r"zlib(?: libpng)?"),
-    ("unlicense", "unlicense", r"unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl"),
-    ("bsl-1.0", "boost", rf"boost(?: software)?(?: license)?(?:{_V}1(?: 0)?)?"),
-    ("ms-pl", "microsoft", r"microsoft public"),
-    ("ms-rl", "microsoft", r"microsoft reciprocal"),
-    ("psf-2.0", "python", r"python software foundation"),
-    ("php-3.01", "php", r"php"),
-    ("ruby", "ruby", r"ruby"),
-    ("openssl", "openssl", r"openssl"),
-    ("postgresql", "postgresql", r"postgresql"),
-    ("ncsa", "illinois", r"(?:university of illinois|illinois ncsa)(?: open source)?"),
-    ("upl-1.0", "universal", r"universal permissive"),
-    ("ofl-1.1", "o", r"(?:sil )?(?:open font|ofl)"),
-    ("odbl-1.0", "o", r"(?:open database|odbl)"),
-    ("odc-by", "data", r"open data commons attribution"),
-    ("pddl", "public", r"public domain dedication"),
-    ("ecl-2.0", "educational", r"educational community"),
-    ("afl-3.0", "academic", r"academic free"),
-    ("osl-3.0", "open", r"open software"),
-    ("cecill", "cecill", r"cecill"),
-    ("busl-1.1", "business", r"business source"),
-    ("sspl-1.0", "s", r"(?:server side public|sspl)"),
-    ("elastic-2.0", "elastic", r"elastic"),
-    ("json", "json", r"json"),
-    ("vim", "vim", r"vim"),
-    ("w3c", "w3c", r"w3c(?: software)?"),
-    ("x11", "x11", r"x11"),
-    ("curl", "curl", r"curl"),
-    ("tcl", "tcl", r"tcl"),
-    ("sleepycat", "sleepycat", r"sleepycat"),
-    ("qpl-1.0", "q", r"(?:q public|qpl)"),
-    ("cpl-1.0", "common", r"common public"),
-    ("ipl-1.0", "ibm", r"ibm public"),
-    ("lppl", "l", r"(?:latex project public|lppl)"),
-    ("mulanpsl-2.0", "mulan", r"mulan(?: permissive software|psl)"),
-    ("blueoak-1.0.0", "blue", r"blue oak model"),
-    ("polyform", "polyform", r"polyform(?: noncommercial| small business| strict)?"),
-]
-
-_UNDER = r"under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
-#: What may stand around a name, from the most to the least telling: gate, expression, priority, confidence.
-FORMS = [
-    ("spdx license identifier", r"spdx license identifier {name}", 1, 1.0),
-    ("under", rf"(?:licen[cs]ed|released|distributed|available|published|provided|offered) (?:to you )?{_UNDER}{{name}}(?: licen[cs]e)?", 2, 0.95),
-    ("under", rf"{_UNDER}{{name}}(?: licen[cs]e)?", 3, 0.9),
-    ("licen", r"licen[cs]ed? (?:is )?{name}", 4, 0.7),
-    ("licen", r"{name} licen[cs]e[ds]?", 5, 0.6),
-]
-#: Label, keyword, gate, expression, priority, confidence.
-OTHERS = [
-    ("proprietary", "reserved", "all rights reserved", r"all rights reserved", 6, 0.5),
-    ("copyright-notice", "copyright", "copyright", r"copyright(?: c)? (?:19|20)[0-9][0-9]", 6, 0.4),
-    ("public-domain", "public domain", "the public domain", r"(?:in|to|into) the public domain", 6, 0.7),
-    ("warranty-disclaimer", "warrant", "as is without", r"as is without (?:any )?warrant(?:y|ies)", 7, 0.3),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms", r"redistribution and use in source and binary forms", 2, 0.9),
-    ("mit", "permission", "permission is hereby granted free of charge to any person", r"permission is hereby granted free of charge to any person", 2, 0.95),
-]
-
-
-def rules() -> list[dict]:
-    """All rules, in their order."""
-    made = [(label, word, gate, form.replace("{name}", f"(?:{name})"), priority, confidence) for gate, form, priority, confidence in FORMS for label, word, name in NAMES]
-    return [{"id": i, "gate": g, "kw": k.split("|"), "re": f" ({x})(?= )", "label": n, "priority": p, "confidence": c} for i, (n, k, g, x, p, c) in enumerate([*made, *OTHERS])]
-
-
-def gates() -> list[str]:
-    """A row of words without any of these, each at the beginning of a word, holds nothing that a rule or a phrase could find."""
-    return sorted({r["gate"] for r in rules()} | {phrase for phrase, _ in BASE})
-
-
-_RULE_TYPE = "array<struct<id:int,gate:string,kw:array<string>,re:string,label:string,priority:int,confidence:double>>"
-
-
-def _spans(words: Column, pattern: Column) -> Column:
-    """(s, e) of every match of ``pattern`` in a space-padded row of words, as word numbers, e exclusive.
-
-    The matches' first and last words are marked, then found again by their number.
-    """
-    marked = F.split(F.trim(F.regexp_replace(words, pattern, F.lit(" \x01$1\x02"))), " ")
+_RULES = "array<struct<id:int,kw:string,re:string,label:string,priority:int,confidence:double>>"
+#: A detection; ``less`` is its length below zero, so that an ascending sort is the ranking.
+_HIT = "struct<priority:int,less:int,s:int,id:int,e:int,label:string,confidence:double>"
+_FOUND = "array<struct<s:int,e:int,label:string,priority:int,confidence:double>>"
+
+
+def keywords() -> list[str]:
+    """The keywords of all rules; every phrase of ``BASE`` holds one of them at the beginning of a word."""
+    return sorted({r["kw"] for r in rules()})
+
+
+def keyword_pattern() -> str:
+    """The keywords as one expression, by first letters, so that most words fail at once."""
+    tree: dict[str, list[str]] = defaultdict(list)
+    for k in keywords():
+        tree[k[0]].append(k[1:])
+    return "(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(tree.items())) + ")"
+
+
+def _marked(words: Column, pattern: Column) -> Column:
+    """A space-padded row of words with the first word of every match marked by \\x01 and the last by \\x02."""
+    return F.regexp_replace(words, pattern, F.lit(" \x01$1\x02"))
+
+
+def _spans(marked: Column) -> Column:
+    """(s, e) of the marks, as word numbers, e exclusive."""
 
     def found(tokens: Column) -> Column:
         at = lambda test, shift: F.filter(F.transform(tokens, lambda t, i: F.when(test(t), i + shift)), lambda i: i.isNotNull())
         return F.arrays_zip(at(lambda t: t.startswith("\x01"), 0).alias("s"), at(lambda t: t.endswith("\x02"), 1).alias("e"))
 
-    return let(marked, found)
+    return let(F.split(F.trim(marked), " "), found)
 
 
-def _resolved(detections: Column) -> Column:
-    """Suppression in one sweep over detections sorted by start, longest first, best priority first."""
-    kind = "struct<s:int,e:int,label:string,priority:int,confidence:double>"
-    one = lambda x: F.struct(x["s"].alias("s"), (-x["ne"]).alias("e"), x["label"].alias("label"), x["priority"].alias("priority"), x["confidence"].alias("confidence"))
-    start = F.struct(F.lit(None).cast(kind).alias("last"), F.array().cast(f"array<{kind}>").alias("kept"))
+def _clusters(hits: Column) -> Column:
+    """Detections in groups that do not touch one another; ``hits`` are sorted by start."""
+    empty = F.array().cast(f"array<{_HIT}>")
+    start = F.struct(F.lit(-1).alias("end"), empty.alias("now"), F.array().cast(f"array<array<{_HIT}>>").alias("done"))
 
     def step(a: Column, x: Column) -> Column:
-        inside = -x["ne"] <= a["last"]["e"]
-        overlaps = x["s"] < a["last"]["e"]
-        stay = F.coalesce(inside | (overlaps & (x["priority"] >= a["last"]["priority"])), F.lit(False))
-        replace = F.coalesce(overlaps, F.lit(False))
-        return (
-            F.when(stay, a)
-            .when(a["last"].isNull() | replace, F.struct(one(x).alias("last"), a["kept"].alias("kept")))
-            .otherwise(F.struct(one(x).alias("last"), F.concat(a["kept"], F.array(a["last"])).alias("kept")))
-        )
+        closed = F.when(F.size(a["now"]) > 0, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"])
+        apart = F.struct(x["e"].alias("end"), F.array(x).alias("now"), closed.alias("done"))
+        return F.when(x["s"] >= a["end"], apart).otherwise(F.struct(F.greatest(a["end"], x["e"]).alias("end"), F.concat(a["now"], F.array(x)).alias("now"), a["done"].alias("done")))
+
+    return F.aggregate(hits, start, step, lambda a: F.when(F.size(a["now"]) > 0, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]))
+
+
+def _kept(cluster: Column) -> Column:
+    """The detections of one group that are not suppressed, best first."""
+
+    def step(kept: Column, x: Column) -> Column:
+        met = F.exists(kept, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
+        return F.when(met, kept).otherwise(F.concat(kept, F.array(x)))
+
+    ranked = F.aggregate(F.sort_array(cluster), F.array().cast(f"array<{_HIT}>"), step)
+    return F.when(F.size(cluster) == 1, cluster).otherwise(ranked)
+
 
-    return F.aggregate(detections, start, step, lambda a: F.when(a["last"].isNull(), a["kept"]).otherwise(F.concat(a["kept"], F.array(a["last"]))))
+def _resolved(hits: Column) -> Column:
+    """What is left of detections by priority and containment, by place."""
+    by_place = F.transform(F.sort_array(F.transform(hits, lambda x: F.struct(x["s"], x.alias("x")))), lambda p: p["x"])
+    left = F.flatten(F.transform(let(by_place, _clusters), _kept))
+    return F.array_sort(F.transform(left, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["label"].alias("label"), x["priority"].alias("priority"), x["confidence"].alias("confidence"))))
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with n_words (long), base (array of s, e, label) and detections (array of s, e, label, priority, confidence).
 
-    ``s`` and ``e`` number words from 0, ``e`` exclusive. Null and empty texts have no
-    words and no detections. Nothing is shuffled; repeated rows stay. Columns of ``df``
-    with these names are replaced.
+    ``s`` and ``e`` number words from 0, ``e`` exclusive; both arrays are in order of
+    place, and detections do not overlap. Null and empty texts have no words and no
+    detections. Ties between rules go to the earlier rule. A text of any length is
+    scanned whole, inside its row; time grows with its length, and beyond that only with
+    the square of the longest unbroken run of overlapping detections. Nothing is
+    shuffled; repeated rows stay. Columns of ``df`` named like a result are replaced.
     """
     new = ["n_words", "base", "detections"]
     df = free(df, new)
-    value = F.coalesce(F.col(text), F.lit(""))
-    table_of_rules = F.from_json(F.lit(json.dumps(rules())), _RULE_TYPE)
-    low = F.lower(value)
-    # a gate of several words is looked for in the normalised words; what stands between them in the text may be anything
-    gate = F.lit(False)
-    for word in sorted({max(g.split(), key=len) for g in gates()}):
-        gate = gate | F.contains(low, F.lit(word))
+    value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    # a superset of what the normalised words would say, on the text as it is
+    gate = ascii_lower(value).rlike(f"(?<![0-9a-z]){keyword_pattern()}")
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(value), BETWEEN, " ")), F.lit(" "))
 
     def base(w: Column) -> Column:
         def one(phrase: str, label: str) -> Column:
-            return F.transform(_spans(w, F.lit(f" ({phrase})(?= )")), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(label).alias("label")))
+            spans = F.when(F.contains(w, F.lit(f" {phrase} ")), _spans(_marked(w, F.lit(f" ({phrase})(?= )"))))
+            return F.transform(F.coalesce(spans, F.array().cast("array<struct<s:int,e:int>>")), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(label).alias("label")))
 
-        each = [one(*rule) for rule in BASE]
-        return F.array_sort(F.concat(*each))
+        return F.array_sort(F.concat(*[one(*rule) for rule in BASE]))
 
     def own(w: Column) -> Column:
-        # each gate is looked for once a document, not once a rule
-        opened = F.filter(F.array(*[F.lit(g) for g in sorted({r["gate"] for r in rules()})]), lambda g: F.contains(w, F.concat(F.lit(" "), g)))
-        gated = let(opened, lambda o: F.filter(table_of_rules, lambda r: F.array_contains(o, r["gate"])))
-        tried = F.filter(gated, lambda r: F.exists(r["kw"], lambda k: F.contains(w, F.concat(F.lit(" "), k))) & F.regexp_like(w, r["re"]))
+        table_of_rules = F.from_json(F.lit(json.dumps(rules())), _RULES)
+        held = F.array_distinct(F.regexp_extract_all(w, F.lit(f" ({keyword_pattern()})"), 1))
+        tried = let(held, lambda h: F.filter(table_of_rules, lambda r: F.array_contains(h, r["kw"])))
+        marked = F.transform(tried, lambda r: F.struct(r.alias("r"), _marked(w, r["re"]).alias("m")))
         hits = F.transform(
-            tried,
-            lambda r: F.transform(
-                _spans(w, r["re"]),
-                lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("ne"), r["priority"].alias("priority"), r["id"].alias("id"), r["label"].alias("label"), r["confidence"].alias("confidence")),
+            F.filter(marked, lambda x: F.contains(x["m"], F.lit("\x01"))),
+            lambda x: F.transform(
+                _spans(x["m"]),
+                lambda p: F.struct(
+                    x["r"]["priority"].alias("priority"), (p["s"] - p["e"]).alias("less"), p["s"].alias("s"), x["r"]["id"].alias("id"),
+                    p["e"].alias("e"), x["r"]["label"].alias("label"), x["r"]["confidence"].alias("confidence"),
+                ),
             ),
-        )
-        return _resolved(F.sort_array(F.flatten(hits)))
+        )
+        return let(F.flatten(hits), _resolved)
 
     found = F.when(gate, let(words, lambda w: F.struct(base(w).alias("base"), own(w).alias("detections"))))
-    out = df.withColumn("__found", found)
-    nothing = "array<struct<s:int,e:int,label:string{}>>"
-    return out.select(
-        *df.columns,
-        F.regexp_count(value, F.lit(WORD)).cast("long").alias("n_words"),
-        F.coalesce(F.col("__found.base"), F.array().cast(nothing.format(""))).alias("base"),
-        F.coalesce(F.col("__found.detections"), F.array().cast(nothing.format(",priority:int,confidence:double"))).alias("detections"),
+    # results travel in one struct through a generator, so that nothing is computed twice and no column needs a name of its own
+    results = let(
+        F.struct(F.regexp_count(value, F.lit(WORD)).cast("long").alias("n"), found.alias("f")),
+        lambda x: F.struct(
+            x["n"].alias("n_words"),
+            F.coalesce(x["f"]["base"], F.array().cast("array<struct<s:int,e:int,label:string>>")).alias("base"),
+            F.coalesce(x["f"]["detections"], F.array().cast(_FOUND)).alias("detections"),
+        ),
     )
+    return df.select("*", F.inline(F.array(results)))
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
