@@ -106,8 +106,8 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     new = ["n_words", "base", "detections"]
     df = free(df, new)
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    # a superset of what the normalised words would say, on the text as it is
-    gate = ascii_lower(value).rlike(f"(?<![0-9a-z]){keyword_pattern()}")
+    # on the text as it is: a superset of what the normalised words would say
+    gate = F.lower(value).rlike(f"(?<![0-9a-z]){keyword_pattern()}")
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(value), BETWEEN, " ")), F.lit(" "))
 
     def base(w: Column) -> Column:
