@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of anything but a space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,25 +23,70 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a local one is set.
+    A session on one machine that names none gets a folder of its own; on a cluster that
+    is an error, as executors do not see one another's folders.
     """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = "/tmp/millrace-checkpoints"
     return place.rstrip("/")
 
 
+#: What ``saved`` wrote and ``forget`` has not deleted yet, oldest first.
+_WRITTEN: list[str] = []
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
-    It cuts lineage, and what follows survives the loss of any executor.
+    It cuts lineage, and what follows survives the loss of any executor. The size of what
+    is read is known, so that a join may broadcast it only if it is small.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """A mark for ``forget``: what is written from now on comes after it."""
+    return len(_WRITTEN)
+
+
+def forget(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes what ``saved`` wrote since a mark, but for the last ``keep``; frames over it can no longer be read."""
+    gone = _WRITTEN[since : len(_WRITTEN) - keep]
+    _WRITTEN[since : len(_WRITTEN) - keep] = []
+    for path in gone:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def hashable(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` in a form that can be hashed and grouped by: maps and variants as JSON."""
+
+    def plain(kind: T.DataType) -> bool:
+        if isinstance(kind, T.StructType):
+            return all(plain(f.dataType) for f in kind.fields)
+        return plain(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+    own = lambda f: F.col(f"`{f.name}`")
+    return [own(f) if plain(f.dataType) else F.to_json(F.struct(own(f).alias("v"))) for f in df.schema.fields]
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, so that names of its columns and of an operator's own cannot clash."""
+    return F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)])
+
+
+def unpacked(columns: list[str], at: str, new: dict[str, Column] | None = None) -> list[Column]:
+    """The columns again from the struct ``at``, those in ``new`` replaced."""
+    return [(new or {}).get(c, F.col(f"{at}.c{i}")).alias(c) for i, c in enumerate(columns)]
+
+
 def free(df: DataFrame, new: list[str]) -> DataFrame:
     """``df`` without the columns that are named like one of the results in ``new``; results replace them."""
     taken = {c.lower() for c in new}

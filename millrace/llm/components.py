@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import saved
+from millrace.llm.common import forget, saved, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,7 +37,9 @@ def components(edges: DataFrame) -> DataFrame:
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = mark(now)
     while before[0]:
+        at = written()
         now = saved(_small_star(_large_star(now)), "edges")
+        forget(edges.sparkSession, at - 1, 1)  # the round before
         after = mark(now)
         if after == before:
             break

@@ -13,14 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SPACE_RUN, WORD, free, let, saved, table
+from millrace.llm.common import SPACE_RUN, WORD, free, let, packed, saved, table, unpacked
 
 #: Leading tokens that lead to a leaf.
 DEPTH = 3
 #: A template recurs if at least so many documents have it; a token is constant if so many have it at its place.
 MIN_DOCS = 10
-#: Only lines of so many tokens are generalised beyond their masked fields, and only if so large a share is constant.
-MIN_TOKENS = 6
+#: A line is generalised beyond its masked fields if so large a share of its tokens is constant.
 CONSTANT = 0.75
 
 NUMBERED = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
@@ -57,25 +56,25 @@ def _leaf(masked: Column) -> Column:
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, h, i): the lines to drop, of ``docs`` (doc_id, text).
 
-    Documents are told apart by id and text, so that repeated rows count once.
+    Documents are told apart by id and text, so that repeated rows count once. The texts
+    are read once: their lines are written with hashes and masked text side by side, and
+    what follows reads the hashes, and the text of open leaves only.
     """
     masked = F.col("masked")
-    lines = saved(_lines(docs).select("doc_id", "h", "i", _leaf(masked).alias("leaf"), F.xxhash64(masked).alias("line"), _size(masked).alias("n")), "lines")
-    once = lines.groupBy("doc_id", "h", "leaf", "line").agg(F.min("i").alias("i"), F.first("n").alias("n"))
-    counted = saved(once.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), F.first("n").alias("n")), "counted")
+    lines = saved(_lines(docs).select("doc_id", "h", "i", _leaf(masked).alias("leaf"), F.xxhash64(masked).alias("line"), _size(masked).alias("n"), "masked"), "lines")
+    once = lines.groupBy("doc_id", "h", "leaf", "line", "n").agg(F.min("i").alias("i"))
+    counted = saved(once.groupBy("leaf", "line", "n").agg(F.count(F.lit(1)).alias("docs")), "counted")
     # leaves in which something can be generalised: several lines, in enough documents
-    leaves = counted.where(F.col("n") >= MIN_TOKENS).groupBy("leaf").agg(F.sum("docs").alias("all"), F.count(F.lit(1)).alias("kinds")).where((F.col("all") >= min_docs) & (F.col("kinds") > 1))
-    open_lines = counted.join(leaves, "leaf", "left_semi").select("leaf", "line", "docs")
-    worded = _lines(docs).select(F.xxhash64(masked).alias("line"), "masked")
-    held = open_lines.join(worded, "line").groupBy("leaf", "line").agg(F.first("docs").alias("docs"), F.split(F.first("masked"), " ").alias("tokens"))
-    held = saved(held, "open")
-    placed = held.select("leaf", "line", "docs", F.posexplode("tokens").alias("at", "token"))
-    frequent = placed.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("all")).where(F.col("all") >= min_docs).select("leaf", "at", "token", F.lit(True).alias("frequent"))
+    leaves = counted.groupBy("leaf").agg(F.sum("docs").alias("all"), F.count(F.lit(1)).alias("kinds")).where((F.col("all") >= min_docs) & (F.col("kinds") > 1)).select("leaf")
+    leaves = saved(leaves, "leaves")
+    # a line of a million documents is one row of each task before anything is shuffled
+    texts = lines.select("leaf", "line", "masked").join(leaves, "leaf", "left_semi").distinct()
+    held = saved(texts.join(counted, ["leaf", "line"]).select("leaf", "line", "n", "docs", F.split("masked", " ").alias("tokens")), "open")
+    placed = held.select("leaf", "line", "n", "docs", F.posexplode("tokens").alias("at", "token"))
+    frequent = placed.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("all")).where(F.col("all") >= min_docs).select("leaf", "at", "token")
     # the constant tokens of a line, as a set of places, decide its template
-    marked = placed.join(frequent, ["leaf", "at", "token"], "left_semi").groupBy("leaf", "line").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("constant"))
-    sized = marked.join(counted.select("leaf", "line", "n"), ["leaf", "line"])
-    templates = sized.where(F.size("constant") >= CONSTANT * F.col("n")).select("leaf", "line", F.xxhash64("leaf", F.col("constant")).alias("template"))
-    templates = saved(templates, "templates")
+    marked = placed.join(saved(frequent, "frequent"), ["leaf", "at", "token"], "left_semi").groupBy("leaf", "line", "n").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("constant"))
+    templates = saved(marked.where(F.size("constant") >= CONSTANT * F.col("n")).select("leaf", "line", F.xxhash64("leaf", F.col("constant")).alias("template")), "templates")
 
     def named(df: DataFrame) -> DataFrame:
         return df.join(templates, ["leaf", "line"], "left").withColumn("template", F.coalesce("template", "line"))
@@ -83,31 +82,34 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     support = named(once).groupBy("template", "doc_id", "h").agg(F.min("i").alias("i")).groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc_id", "h", "i")).alias("first"))
     # written, so that the join below reads both sides from shuffles: then a hot template's rows can be split over tasks
     support = saved(support.where(F.col("docs") >= min_docs).drop("docs"), "support")
-    found = named(lines).join(support, "template")
+    found = named(lines.select("doc_id", "h", "i", "leaf", "line")).join(support, "template")
     return found.where(~F.struct("doc_id", "h", "i").eqNullSafe(F.col("first"))).select("doc_id", "h", "i")
 
 
 def drop_recurring(df: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """``df`` with recurring lines removed from ``text``, and the new columns n_lines and n_dropped (long).
 
-    Lines are what stands between \\n. The first line of a recurring template (by id, then
-    place) stays. Null texts stay null, with 0 lines; lines without a word always stay.
-    Other columns and repeated rows pass through; columns called n_lines or
-    n_dropped are replaced.
+    Lines are what stands between \\n. The first line of a recurring template (by id, text
+    hash and place; a null id comes first) stays. Null texts stay null, with 0 lines;
+    lines without a word always stay. Rows with a null id are documents like others. A
+    text of any length is cut into its lines where it lies; only a line must fit a task.
+    Other columns and repeated rows pass through; columns called n_lines or n_dropped
+    are replaced.
     """
     df = free(df, ["n_lines", "n_dropped"])
-    docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    dropped = recurring(docs, min_docs).groupBy("doc_id", "h").agg(F.collect_set("i").alias("__drop")).withColumnsRenamed({"doc_id": "__id", "h": "__h"})
-    joined = df.join(dropped, F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__h")), "left")
-    lines = F.split(text, "\n")
+    own = F.col(f"`{text}`")
+    rows = df.select(packed(df).alias("row"), F.col(f"`{key}`").alias("id"), F.xxhash64(own).alias("h"), own.alias("text"))
+    dropped = recurring(rows.select(F.col("id").alias("doc_id"), "text"), min_docs).groupBy("doc_id", "h").agg(F.collect_set("i").alias("gone"))
+    joined = rows.drop("text").alias("l").join(dropped.alias("r"), F.col("l.id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.h") == F.col("r.h")), "left").select("row", "gone")
+    whole = F.col(f"row.c{df.columns.index(text)}")
+    lines = F.split(whole, "\n")
     # an array's difference is taken by hashing, so that long texts cost no more than their length
-    left = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__drop")), lambda i: F.get(x, i)), "\n"))
-    new = F.when(F.col("__drop").isNull(), F.col(text)).otherwise(left)
+    left = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)), "\n"))
     return joined.select(
-        *[new.alias(c) if c == text else F.col(c) for c in df.columns],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("__lines"),
-        F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"),
-    ).withColumnRenamed("__lines", "n_lines")
+        *unpacked(df.columns, "row", {text: F.when(F.col("gone").isNull(), whole).otherwise(left)}),
+        F.when(whole.isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+    )
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +130,7 @@ WITH lines AS (
 ), counted AS (
   SELECT t, len(t) AS n, len(t) || ' ' || array_to_string(t[1:{DEPTH}], ' ') AS leaf, count(*) AS docs FROM once GROUP BY t
 ), leaves AS (
-  SELECT leaf FROM counted WHERE n >= {MIN_TOKENS} GROUP BY leaf HAVING sum(docs) >= {MIN_DOCS} AND count(*) > 1
+  SELECT leaf FROM counted GROUP BY leaf HAVING sum(docs) >= {MIN_DOCS} AND count(*) > 1
 ), placed AS (
   SELECT leaf, t, n, docs, unnest(t) AS token, generate_subscripts(t, 1) AS spot FROM counted WHERE leaf IN (SELECT leaf FROM leaves)
 ), frequent AS (

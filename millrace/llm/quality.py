@@ -15,23 +15,44 @@ from millrace.llm.common import WORD, free, let, table
 SYMBOLS = "#*$%&|<>"
 #: A line may have symbols up to this share of its characters.
 LINE_SYMBOLS = 0.05
-#: A line with so many separators is navigation, and so is one of so few words without an end.
+#: A line with so many bars is navigation.
 SEPARATORS = 3
-NAV_WORDS = 3
-#: Boilerplate is looked for in lines of at most so many words.
-BOILERPLATE_WORDS = 40
+#: A trail has so many steps at least, and so many words a step at most.
+TRAIL_STEPS = 2
+STEP_WORDS = 3
+#: A line fails that has a phrase of boilerplate for every so many words.
+PHRASE_WORDS = 40
 #: A document is rejected that keeps less than this share of its words.
 KEPT_SHARE = 0.5
 #: A document of fewer words, or with more than this share of repeated words, fails the base rules.
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 
-ENDS = r"""[.!?:;…"'”’»)\]]\s*$"""
+#: A sentence's end, or the end of a quotation; a lone \u00bb points onwards and ends nothing.
+ENDS = "(?:[.!?:;\u2026\"'\u201d\u2019)\\]]|[.!?\u2026][ \u00a0\u202f]?\u00bb|\u00ab[^\u00bb]*\u00bb)\\s*$"
 SHOUTING = r"(!!.*){3}"
-BOILERPLATE = (
-    r"all rights reserved|privacy policy|terms of (use|service)|cookie|enable javascript|click here|subscribe to|sign up|log ?in"
-    r"|lorem ipsum|read more|share this|powered by|skip to content|table of contents|page \d+ of \d+|copyright|(c) \d{4}"
-).replace("(c)", r"\(c\)")
+#: What stands between the steps of a trail.
+STEP = r"[ \t][|>»›→•·/][ \t]"
+#: Lines that are a link and nothing else.
+LABELS = [
+    "home", "start", "next( page)?", "prev(ious)?( page)?", "back", "back to top", "(main )?menu", "search", "contact( us)?", "about( us)?", "site ?map", "register",
+    "log ?out", "faq", "help", "print", "archives?", "accueil", "suivant", "pr[ée]c[ée]dent", "retour", "rechercher", "plan du site", "startseite", "weiter", "zur[üu]ck",
+    "suche", "kontakt", "impressum", "datenschutz", "inicio", "siguiente", "anterior", "volver", "buscar", "contacto", "mapa del sitio",
+]
+LABEL = r"^[\s«»<>|‹›←→•·:.!–-]*(" + "|".join(LABELS) + r")[\s«»<>|‹›←→•·:.!–-]*$"
+#: Phrases of boilerplate in English, German, French and Spanish.
+PHRASES = [
+    "all rights reserved", "privacy policy", "terms of (use|service)", "cookie", "enable javascript", "click here", "subscribe to", "sign up", "log ?in", "lorem ipsum",
+    "read more", "share this", "powered by", "skip to content", "table of contents", "page [0-9]+ of [0-9]+", "copyright", r"\(c\) [0-9][0-9][0-9][0-9]",
+    "alle rechte vorbehalten", "datenschutzerkl[äa]rung", "nutzungsbedingungen", "hier klicken", "jetzt anmelden", "weiterlesen", "mehr lesen", "mehr erfahren",
+    "inhaltsverzeichnis", "seite [0-9]+ von [0-9]+", "zum inhalt springen", "javascript aktivieren", "newsletter abonnieren",
+    "tous droits r[ée]serv[ée]s", "politique de confidentialit[ée]", "conditions d['’]utilisation", "cliquez ici", "lire la suite", "en savoir plus", "s['’]abonner",
+    "activer javascript", "table des mati[èe]res", "page [0-9]+ sur [0-9]+", "aller au contenu", "mentions l[ée]gales",
+    "todos los derechos reservados", "pol[íi]tica de privacidad", "t[ée]rminos de uso", "aviso legal", "haga clic aqu[íi]", "leer m[áa]s", "suscr[íi]b(ete|ase)",
+    "activar javascript", "tabla de contenidos", "p[áa]gina [0-9]+ de [0-9]+", "saltar al contenido",
+]
+#: A phrase at the beginning of a word, by first letters, so that most words fail at once.
+BOILERPLATE = "(^|[^a-z])(" + "|".join(f"{c}({'|'.join(x[1:] for x in PHRASES if x[0] == c)})" if c.isalpha() else "|".join(x for x in PHRASES if x[0] == c) for c in sorted({x[0] for x in PHRASES})) + ")"
 
 
 def words_of(text: Column) -> Column:
@@ -68,15 +89,16 @@ def repeated_words(words: Column) -> Column:
 
 
 def line_passes(line: Column) -> Column:
-    """Whether a line passes all rules; one without a word does not."""
+    """Whether a line passes the rules of punctuation, navigation and boilerplate; one without a word does not."""
     n = F.regexp_count(line, F.lit(WORD))
     symbols = F.length(line) - F.length(_without(line, SYMBOLS))
     bars = F.length(line) - F.length(_without(line, "|>"))
-    ends = line.rlike(ENDS)
-    punctuation = ends & (symbols <= LINE_SYMBOLS * F.length(line)) & ~line.rlike(SHOUTING)
-    navigation = (bars >= SEPARATORS) | ((n < NAV_WORDS) & ~ends)
-    boilerplate = (n <= BOILERPLATE_WORDS) & F.lower(line).rlike(BOILERPLATE)
-    return (n > 0) & punctuation & ~navigation & ~boilerplate
+    steps = F.regexp_count(line, F.lit(STEP))
+    punctuation = line.rlike(ENDS) & (symbols <= LINE_SYMBOLS * F.length(line)) & ~line.rlike(SHOUTING)
+    trail = (steps >= TRAIL_STEPS) & (n - steps <= STEP_WORDS * (steps + 1))
+    navigation = (bars >= SEPARATORS) | trail | F.lower(line).rlike(LABEL)
+    boilerplate = PHRASE_WORDS * F.regexp_count(F.lower(line), F.lit(BOILERPLATE)) >= n
+    return punctuation & (n > 0) & ~navigation & ~boilerplate
 
 
 def clean(df: DataFrame, text: str = "text") -> DataFrame:
@@ -84,33 +106,39 @@ def clean(df: DataFrame, text: str = "text") -> DataFrame:
 
     New columns: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long),
     base_failed, clean_text, kept_words (long), kept. A null text counts as empty:
-    no words, base_failed, not kept. Everything is computed inside a row, so repeated
-    rows stay and nothing is shuffled. Columns of ``df`` with these names are replaced.
+    no words, base_failed, not kept; so does one of spaces only. A text of any length is
+    judged whole, inside its row, in time that grows with its length. Windows of words
+    tie by 64-bit hashes. Repeated rows stay and nothing is shuffled. Columns of ``df``
+    named like a result are replaced.
     """
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "kept_words", "kept"]
     df = free(df, new)
-    value = F.coalesce(F.col(text), F.lit(""))
+    value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     long = lambda c: c.cast("long")
-    worded = F.filter(F.split(value, "\n"), lambda x: x.rlike(WORD))
-    measures = let(
-        words_of(value),
-        lambda w: F.struct(long(F.size(w)).alias("n_words"), repeated_words(w).alias("n_repeat_words")),
-    )
-    measured = df.withColumn("__m", measures)
-    out = measured.select(
-        *df.columns,
-        F.col("__m.n_words").alias("n_words"),
-        long(F.length(_without(value, " \t\n\x0b\f\r"))).alias("word_chars"),
-        long(F.length(value) - F.length(_without(value, SYMBOLS))).alias("n_symbols"),
-        let(worded, lambda x: long(F.size(x) - F.size(F.array_distinct(x)))).alias("n_dup_lines"),
-        F.col("__m.n_repeat_words").alias("n_repeat_words"),
-        F.array_join(F.filter(F.split(value, "\n"), line_passes), "\n").alias("clean_text"),
-    )
-    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT)
-    out = out.withColumn("base_failed", failed).withColumn("kept_words", long(F.regexp_count("clean_text", F.lit(WORD))))
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("kept_words") >= KEPT_SHARE * F.col("n_words")))
-    # through a generator, as a later filter on the results would otherwise be pushed below and compute them again
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.inline(F.array(F.struct(*new))))
+
+    def measured(lines: Column, words: Column, cleaned: Column) -> Column:
+        n, repeated, kept = F.size(words), repeated_words(words), F.regexp_count(cleaned, F.lit(WORD))
+        worded = F.filter(lines, lambda x: x.rlike(WORD))
+        base = let(F.struct(n.alias("n"), repeated.alias("r"), kept.alias("k")), lambda m: F.struct(m.alias("m"), ((m["n"] < MIN_WORDS) | (m["r"] * 100 > m["n"] * REPEAT_PERCENT)).alias("failed")))
+        return let(
+            base,
+            lambda b: F.struct(
+                long(b["m"]["n"]).alias("n_words"),
+                long(F.length(_without(value, " \t\n\x0b\f\r"))).alias("word_chars"),
+                long(F.length(value) - F.length(_without(value, SYMBOLS))).alias("n_symbols"),
+                let(worded, lambda x: long(F.size(x) - F.size(F.array_distinct(x)))).alias("n_dup_lines"),
+                b["m"]["r"].alias("n_repeat_words"),
+                b["failed"].alias("base_failed"),
+                cleaned.alias("clean_text"),
+                long(b["m"]["k"]).alias("kept_words"),
+                (~b["failed"] & (b["m"]["k"] >= KEPT_SHARE * b["m"]["n"])).alias("kept"),
+            ),
+        )
+
+    passed = lambda lines: F.array_join(F.filter(lines, line_passes), "\n")
+    results = let(F.split(value, "\n"), lambda lines: let(words_of(value), lambda w: let(passed(lines), lambda c: measured(lines, w, c))))
+    # through a generator: a later filter on the results is not pushed below, where it would compute them again, and no column needs a name of its own
+    return df.select("*", F.inline(F.array(results)))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +167,10 @@ WITH d AS (
       AND length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) <= {LINE_SYMBOLS} * length(x)
       AND NOT regexp_matches(x, '{SHOUTING}')
       AND length(x) - length(regexp_replace(x, '[|>]', '', 'g')) < {SEPARATORS}
-      AND NOT (len(regexp_extract_all(x, '{_W}')) <= {BOILERPLATE_WORDS} AND regexp_matches(lower(x), '{BOILERPLATE}'))
+      AND NOT (len(regexp_extract_all(x, '{STEP}')) >= {TRAIL_STEPS}
+        AND len(regexp_extract_all(x, '{_W}')) - len(regexp_extract_all(x, '{STEP}')) <= {STEP_WORDS} * (len(regexp_extract_all(x, '{STEP}')) + 1))
+      AND NOT regexp_matches(lower(x), '{LABEL}')
+      AND {PHRASE_WORDS} * len(regexp_extract_all(lower(x), '{BOILERPLATE.replace("'", "''")}')) < len(regexp_extract_all(x, '{_W}'))
     ), lambda x: len(regexp_extract_all(x, '{_W}')))), 0) AS kept_words
   FROM d LEFT JOIN rep ON rep.r = d.r
 )
