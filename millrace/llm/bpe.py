@@ -1,13 +1,13 @@
 """Byte-level BPE: encoding by overlapping chunks, decoding by joining raw bytes.
 
-A text is cut into chunks of CHUNK characters that overlap by OVERLAP. Each chunk is
-pre-tokenised on its own, so that the chunks of one long text are spread over the
-cluster. What the pattern matches at a place depends only on what follows, so two
-chunks that both have a boundary at one place agree from there on: the chunks are
-stitched at the first boundary that both have. Where an overlap has no common boundary
-(a run without any boundary that is longer than the overlap), the chunks are joined and
-pre-tokenised as one. Then the pieces are encoded. A text of one chunk goes straight
-through the library.
+Every text is cut into chunks of CHUNK characters that overlap by OVERLAP. Each chunk is
+pre-tokenised on its own. What the pattern matches at a place depends only on what
+follows, so two chunks that both have a boundary at one place agree from there on: the
+chunks are stitched at the first boundary that both have. Where an overlap has no common
+boundary (a run without any boundary that is longer than the overlap), the chunks are
+joined and pre-tokenised as one. Then the pieces are encoded. The chunks of a text of
+more than SPREAD are dealt out over the cluster before they are pre-tokenised; those of
+shorter texts stay where the text lies.
 """
 
 from __future__ import annotations
@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import free, ship, table
+from millrace.llm.common import free, hashable, packed, ship, table, unpacked
 
-CHUNK = 32768
-OVERLAP = 512
+CHUNK = 4096
+OVERLAP = 256
+SPREAD = 8
 
 
 class Vocabulary:
@@ -52,9 +53,19 @@ def _encoding(ranks_file: bytes, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("millrace", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def chunks_of(text: str) -> list[tuple[int, str]]:
+    """The overlapping chunks of a text, each with its start; an empty text is one empty chunk."""
+    return [(lo, text[lo : lo + CHUNK + OVERLAP]) for lo in range(0, max(1, len(text) - OVERLAP), CHUNK)]
+
+
 def boundaries(text: str, pattern: str, start: int = 0) -> np.ndarray:
     """The ends of the pre-tokens of ``text``, plus ``start``; gaps between matches end nowhere."""
-    return np.fromiter((m.end() for m in regex.finditer(pattern, text)), dtype=np.int64) + start
+    compiled = regex.compile(pattern)
+    if not compiled.groups:
+        ends = np.cumsum([len(x) for x in compiled.findall(text)], dtype=np.int64)
+        if (ends[-1] if len(ends) else 0) == len(text):  # no gaps
+            return ends + start
+    return np.fromiter((m.end() for m in compiled.finditer(text)), dtype=np.int64) + start
 
 
 def stitch(chunks: list[tuple[int, str, np.ndarray]], pattern: str) -> tuple[str, np.ndarray]:
@@ -106,64 +117,70 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str =
     """``df`` with ``ids``: its texts' token ids as little-endian unsigned 32-bit integers (binary).
 
     A null or empty text gives no ids (empty binary). All columns pass through, texts
-    included; repeated rows stay repeated. A column named like ``ids`` is replaced. Texts of one chunk are encoded where they lie; only longer ones move.
+    included; repeated rows stay repeated. A column named like ``ids`` is replaced.
+    Texts of up to SPREAD chunks are encoded where they lie; only longer ones move, equal
+    rows of them once. A row, its text and its ids must fit a task.
     """
     df = free(df, [ids])
     ship(df.sparkSession)
     at = df.columns.index(text)
     pattern = vocabulary.pattern
+    own = F.col(f"`{text}`")
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = vocabulary.encoding()
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                found = [np.array(encoding.encode_ordinary(x or ""), dtype="<u4").tobytes() for x in batch.column(at).to_pylist()]
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding, known = vocabulary.encoding(), {}
+
+        def one(value: str) -> bytes:
+            whole, ends = stitch([(lo, x, boundaries(x, pattern, lo)) for lo, x in chunks_of(value)], pattern)
+            return encode_pieces(whole, ends, encoding, known).tobytes()
+
+        for held in batches:
+            for lo in range(0, held.num_rows, 256):
+                batch = held.slice(lo, 256)
+                found = [one(x or "") for x in batch.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, ids])
 
     schema = T.StructType([*df.schema.fields, T.StructField(ids, T.BinaryType())])
-    is_long = F.coalesce(F.length(text) > CHUNK, F.lit(False))
-    encoded = df.where(~is_long).mapInArrow(short, schema)
+    is_long = F.coalesce(F.length(own) > SPREAD * CHUNK + OVERLAP, F.lit(False))
+    encoded = df.where(~is_long).mapInArrow(near, schema)
 
-    # a long text travels as chunks; the other columns of its row go with the first one
+    # a long text travels as chunks under the digest of its row; the row itself goes with the first one
     rest = [c for c in df.columns if c != text]
-    others = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.lit(1).alias("last"))
-    names = ["__row", "__lo", "__part", "__rest"]
+    digest = [F.xxhash64(F.lit(i), *hashable(df)).alias(f"h{i}") for i in range(2)]
+    single = df.where(is_long).select(*digest, F.struct(own.alias("part"), packed(df.select(*[f"`{c}`" for c in rest])).alias("rest")).alias("row")) if rest else None
+    if single is None:
+        single = df.where(is_long).select(*digest, F.struct(own.alias("part"), F.struct(F.lit(None).cast("int").alias("c0")).alias("rest")).alias("row"))
+    counted = single.groupBy("h0", "h1").agg(F.first("row").alias("row"), F.count(F.lit(1)).alias("n")).select("h0", "h1", F.col("row.part").alias("part"), F.struct("n", F.col("row.rest").alias("rest")).alias("kept"))
+    names = ["h0", "h1", "lo", "part", "kept"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                value, more = batch.column(1)[i].as_py(), batch.column(2).slice(i, 1)
-                starts = range(0, len(value) - OVERLAP, CHUNK)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array([i] * len(starts))),
-                        pa.array(starts, pa.int64()),
-                        pa.array([value[lo : lo + CHUNK + OVERLAP] for lo in starts]),
-                        more.take(pa.array([0] + [None] * (len(starts) - 1), pa.int64())),
-                    ],
-                    names,
-                )
+                starts, parts = zip(*chunks_of(batch.column(2)[i].as_py()))
+                same = pa.array([i] * len(starts))
+                first = pa.array([i] + [None] * (len(starts) - 1), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(same), batch.column(1).take(same), pa.array(starts, pa.int64()), pa.array(parts), batch.column(3).take(first)], names)
 
     def pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends = [boundaries(x, pattern, lo).astype("<i8").tobytes() for lo, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends, pa.binary())], [*names, "__ends"])
+            ends = [boundaries(x, pattern, lo).astype("<i8").tobytes() for lo, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends, pa.binary())], [*names, "ends"])
 
     def join(chunks):
-        chunks = chunks.sort_by("__lo")
-        rows = zip(*(chunks.column(c).to_pylist() for c in ("__lo", "__part", "__ends")))
+        chunks = chunks.sort_by("lo")
+        rows = zip(*(chunks.column(c).to_pylist() for c in ("lo", "part", "ends")))
         whole, ends = stitch([(lo, x, np.frombuffer(e, dtype="<i8")) for lo, x, e in rows], pattern)
         found = encode_pieces(whole, ends, vocabulary.encoding(), {})
-        return pa.table({"__rest": chunks.column("__rest").slice(0, 1), "__part": [whole], "__ids": pa.array([found.tobytes()], pa.binary())})
-
-    # the number of a row holds its chunks together, so that equal rows are not one group
-    long = df.where(is_long).select(F.monotonically_increasing_id().alias("__row"), F.col(f"`{text}`").alias("__part"), others.alias("__rest"))
-    row, part, kept = (T.StructField(f.name, f.dataType) for f in long.schema.fields)  # nullable: later chunks have no rest
-    chunked = T.StructType([row, T.StructField("__lo", T.LongType()), part, kept])
-    chunks = long.mapInArrow(cut, chunked).repartition("__row", "__lo").mapInArrow(pretokenise, T.StructType([*chunked.fields, T.StructField("__ends", T.BinaryType())]))
-    joined = chunks.groupBy("__row").applyInArrow(join, T.StructType([kept, part, T.StructField("__ids", T.BinaryType())]))
-    out = joined.select(*[F.col("__part").alias(c) if c == text else F.col(f"__rest.c{rest.index(c)}").alias(c) for c in df.columns], F.col("__ids").alias(ids))
+        return pa.table({"kept": chunks.column("kept").slice(0, 1), "part": [whole], "ids": pa.array([found.tobytes()], pa.binary())})
+
+    part, kept = (T.StructField(f.name, f.dataType) for f in counted.schema.fields[2:])  # nullable: later chunks have no rest
+    key = [T.StructField("h0", T.LongType()), T.StructField("h1", T.LongType())]
+    chunked = T.StructType([*key, T.StructField("lo", T.LongType()), part, kept])
+    dealt = counted.mapInArrow(cut, chunked).repartition("h0", "h1", "lo")
+    joined = dealt.mapInArrow(pretokenise, T.StructType([*chunked.fields, T.StructField("ends", T.BinaryType())])).groupBy("h0", "h1").applyInArrow(join, T.StructType([kept, part, T.StructField("ids", T.BinaryType())]))
+    again = joined.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("kept.n"))))
+    others = dict(zip(rest, unpacked(rest, "kept.rest")))
+    out = again.select(*[F.col("part").alias(c) if c == text else others[c] for c in df.columns], F.col("ids").alias(ids))
     return encoded.unionByName(out)
 
 
@@ -171,7 +188,8 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded: str
     """``df`` with ``decoded``: the bytes of the tokens of ``ids``, joined.
 
     Bytes are not checked to be UTF-8, as a token may hold part of a character. Null ids
-    give no bytes; an id that the vocabulary lacks is an error.
+    give no bytes; an id that the vocabulary lacks is an error. Other columns and repeated
+    rows pass through; a column named like ``decoded`` is replaced.
     """
     df = free(df, [decoded])
     ship(df.sparkSession)

@@ -4,6 +4,8 @@ A test item may occur in a document with at most ``k`` edits, a share of its len
 into k + 1 pieces, at least one piece must then occur exactly. One Aho-Corasick
 automaton finds the pieces of a block of items in each document; every hit tells where
 the item would lie, and Myers' bit-parallel algorithm measures the edit distance there.
+An item so short that no edit is allowed is its only piece; it counts where it stands
+between the ends of words, as it would occur inside longer words by chance.
 """
 
 from __future__ import annotations
@@ -16,15 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import saved, ship, table
+from millrace.llm.common import ship, table
 
 #: Edits allowed, as a share of an item's normalised length.
 EDITS = 0.06
 #: Characters of items in one automaton; more items are searched for block by block.
 BLOCK_CHARS = 4_000_000
-#: Items shorter than this many characters, once normalised, match by chance and are not searched for.
-SHORTEST = 24
-
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -68,11 +67,20 @@ def myers(pattern: str, text: str, k: int) -> tuple[int, int] | None:
     return (best, at) if best <= k else None
 
 
-class Matcher:
-    """The items of one block."""
+def _joined(a: str, b: str) -> bool:
+    """Whether two characters side by side belong to one word; scripts without spaces have no words of this kind."""
+    return a.isalnum() and b.isalnum() and max(a, b) < "\u2e80"
 
-    def __init__(self, items: list[tuple[int, str]], edits: float = EDITS) -> None:
-        self.items = [(item_id, text, int(len(text) * edits)) for item_id, text in items]
+
+class Matcher:
+    """The items of one block; equal texts are searched for once."""
+
+    def __init__(self, items: list[tuple[int | None, str]], edits: float = EDITS) -> None:
+        ids: dict[str, list[int | None]] = {}
+        for item_id, text in items:
+            if text:
+                ids.setdefault(text, []).append(item_id)
+        self.items = [(same, text, int(len(text) * edits)) for text, same in ids.items()]
         self.automaton = ahocorasick.Automaton()
         where: dict[str, list[tuple[int, int]]] = {}
         for i, (_, text, k) in enumerate(self.items):
@@ -83,48 +91,63 @@ class Matcher:
         if where:
             self.automaton.make_automaton()
 
-    def find(self, text: str) -> list[tuple[int, int, int]]:
-        """For each item in the normalised ``text``: its id, least distance and where that match ends."""
-        if not len(self.automaton):
-            return []
-        spans: dict[int, list[int]] = {}
-        for end, (length, at) in self.automaton.iter(text):
-            for i, start in at:
-                spans.setdefault(i, []).append(end + 1 - length - start)
+    def _whole(self, item: str, text: str, starts: list[int]) -> int | None:
+        """Where ``item`` first ends in ``text`` between the ends of words."""
+        for s in starts:
+            e = s + len(item)
+            if not (s and _joined(text[s - 1], item[0])) and not (e < len(text) and _joined(item[-1], text[e])):
+                return e
+        return None
+
+    def _near(self, item: str, k: int, text: str, starts: list[int]) -> tuple[int, int] | None:
+        """The least distance of ``item`` to a part of ``text`` around its hits, and where that part ends."""
+        if (exact := text.find(item, max(0, starts[0]))) >= 0:
+            return 0, exact + len(item)
+        best, windows = None, []
+        for s in sorted(starts):  # windows of hits that overlap are verified as one
+            a, b = max(0, s - k), s + len(item) + k
+            if windows and a <= windows[-1][1] - len(item):
+                windows[-1] = (windows[-1][0], max(windows[-1][1], b))
+            else:
+                windows.append((a, b))
+        for lo, hi in windows:
+            if (m := myers(item, text[lo:hi], k)) and (best is None or m[0] < best[0]):
+                best = (m[0], lo + m[1])
+        return best
+
+    def spans(self, text: str) -> dict[int, list[int]]:
+        """For each item of which a piece occurs, where it would start by that piece."""
+        found: dict[int, list[int]] = {}
+        if len(self.automaton):
+            for end, (length, at) in self.automaton.iter(text):
+                for i, start in at:
+                    found.setdefault(i, []).append(end + 1 - length - start)
+        return found
+
+    def find(self, text: str, first: bool = False) -> list[tuple[int | None, int, int]]:
+        """For each item in the normalised ``text``: its id, least distance and where that match ends; one is enough if ``first``."""
         out = []
-        for i, starts in spans.items():
-            item_id, item, k = self.items[i]
-            best = None
-            if (exact := text.find(item, max(0, starts[0]))) >= 0:
-                best = (0, exact + len(item))
+        for i, starts in self.spans(text).items():
+            ids, item, k = self.items[i]
+            if k == 0:
+                best = (0, e) if (e := self._whole(item, text, starts)) is not None else None
             else:
-                starts.sort()
-                lo = hi = None
-                windows = []
-                for s in starts:  # windows of hits that overlap are verified as one
-                    a, b = max(0, s - k), s + len(item) + k
-                    if hi is not None and a <= hi - len(item):
-                        hi = max(hi, b)
-                        windows[-1] = (windows[-1][0], hi)
-                    else:
-                        lo, hi = a, b
-                        windows.append((lo, hi))
-                for lo, hi in windows:
-                    if (m := myers(item, text[lo:hi], k)) and (best is None or m[0] < best[0]):
-                        best = (m[0], lo + m[1])
+                best = self._near(item, k, text, starts)
             if best is not None:
-                out.append((item_id, *best))
+                out += [(item_id, *best) for item_id in ids]
+                if first:
+                    break
         return out
 
 
-def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    block: list[tuple[int, str]] = []
+def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int | None, str]]]:
+    block: list[tuple[int | None, str]] = []
     held = 0
-    for r in items.select(item_id, text).orderBy(item_id, text).toLocalIterator():
-        value = normalised(r[text])
-        if len(value) < SHORTEST or r[item_id] is None:
+    for r in items.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t")).orderBy("i", "t").toLocalIterator():
+        value = normalised(r["t"])
+        if not value:
             continue
-        block.append((r[item_id], value))
+        block.append((r["i"], value))
         held += len(value)
         if held >= BLOCK_CHARS:
             yield block
@@ -137,15 +160,16 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     """One row for each document and item that occurs in it: doc_id, item_id, distance, match_end, contained.
 
     ``match_end`` counts characters of the normalised text; ``contained`` is true where
-    the distance is 0. Items go to the executors in blocks of at most BLOCK_CHARS
-    characters, so that what is sent has a bound at any number of items. Null and empty
-    texts, null ids of items and items under SHORTEST characters match nothing. A
-    repeated document gives its rows again, a repeated item too. Empty tables give an
-    empty result.
+    the distance is 0; of equally near places the first counts. Items go to the executors
+    in blocks of at most BLOCK_CHARS characters, so that what is sent has a bound at any
+    number of items. Null texts, and texts without a letter or digit, match nothing. Null
+    ids of documents and items match and are given as null. A repeated document gives
+    its rows again, a repeated item too. Texts of any length are searched whole, in time
+    that grows with their length. Empty tables give an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     schema = "doc_id long, item_id long, distance int, match_end long, contained boolean"
     out = None
     for block in _blocks(items, item_id, item_text):
@@ -167,13 +191,26 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents in which an item occurs; all columns stay.
+def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", edits: float = EDITS) -> DataFrame:
+    """``docs`` without the rows in whose text an item occurs; all columns stay.
 
-    Rows with a null ``doc_id`` stay, as no match can name them.
+    Each row is judged where it lies, by its text alone: ids may be null or repeat, rows
+    may repeat, and nothing is shuffled. A null or empty text holds no item; without
+    items every row stays.
     """
-    hit = saved(matches(docs, items, doc_id, text).select(F.col("doc_id").alias("__hit")).distinct(), "decontam")
-    return docs.join(hit, F.col(doc_id) == F.col("__hit"), "left_anti")
+    spark = docs.sparkSession
+    ship(spark)
+    at = docs.columns.index(text)
+    for block in _blocks(items, item_id, item_text):
+        held = spark.sparkContext.broadcast(block)
+
+        def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(held.value, edits)
+            for batch in batches:
+                yield batch.filter(pa.array([not (t and matcher.find(normalised(t), True)) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

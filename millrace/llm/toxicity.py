@@ -139,8 +139,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key:
     """Trains a chain on about ``sample_rows`` of the labelled documents.
 
     ``categories`` gives for each category, in the order of the chain, a boolean column of
-    ``labels``; null counts as false. Only the words of the sample reach the driver.
-    Without labelled rows every probability is nearly 0.
+    ``labels``; null counts as false. Only the words of the sample reach the driver, once
+    an id: of an id with several texts the one whose words sort first teaches, and labels
+    of one id that differ count as true. Without labelled rows every probability is
+    nearly 0.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -155,9 +157,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key:
         for batch in batches:
             yield batch.set_column(1, "__words", pa.array([" ".join(sorted(words(x))) for x in batch.column(1).to_pylist()]))
 
-    # at most the sample is broadcast: ids and labels, some 20 bytes a row
-    picked = docs.select(F.col(key).alias("__key"), F.col(text).alias("__words")).join(F.broadcast(own), "__key")
-    got = picked.mapInArrow(gather, picked.schema).select("*", F.pmod(F.crc32(F.col("__key").cast("string").cast("binary")), F.lit(FOLDS)).alias("__fold")).collect()
+    # at most the sample is broadcast: ids and labels, some 20 bytes a row; of several texts of one id the first in order counts
+    picked = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__words")).join(F.broadcast(own), "__key")
+    single = picked.mapInArrow(gather, picked.schema).groupBy(*[c for c in picked.columns if c != "__words"]).agg(F.min("__words").alias("__words"))
+    got = single.select("*", F.pmod(F.crc32(F.col("__key").cast("string").cast("binary")), F.lit(FOLDS)).alias("__fold")).collect()
     got.sort(key=lambda r: (r["__key"], r["__words"]))
     y = np.array([[r[f"__y{i}"] for i in range(len(categories))] for r in got], dtype=int).reshape(-1, len(categories))
     return Chain(list(categories)).fit([r["__words"] for r in got], y, np.array([r["__fold"] for r in got], dtype=int))
@@ -166,8 +169,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key:
 def score(docs: DataFrame, chain: Chain, text: str = "text", decided_by: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``p_<category>`` for each category and the boolean ``toxic``.
 
-    Null and empty texts have no words and get what the models say of none. All columns
-    pass through; columns with these names are replaced.
+    Null and empty texts have no words and get what the models say of none. Texts of any
+    length are read whole; only which words occur counts. Equal texts get equal
+    probabilities, and a probability at the threshold is toxic. All columns and repeated
+    rows pass through; columns with these names are replaced.
     """
     ship(docs.sparkSession)
     new = [f"p_{c}" for c in chain.categories] + ["toxic"]
