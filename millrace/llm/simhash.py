@@ -38,6 +38,8 @@ SHARD = 40_000
 #: Fingerprints that choose vantage points and medians; they decide the balance of shards, never a result.
 SAMPLE = 20_000
 LEAF = 192
+#: From so many fingerprints on, exact plans take blocks in pairs (see Plan.fitted).
+WIDE = 1 << 33
 #: Sets are alike if they share at least 4 / 5 of their union.
 SHARED, UNION = 4, 5
 
@@ -59,6 +61,20 @@ class Plan:
         """64 bits and 4 different ones at most; no pair is missed."""
         return cls(words, 64, 4, (tuple(range(0, 21)), tuple(range(21, 42)), tuple(range(42, 64))))
 
+    def fitted(self, n: int) -> Plan:
+        """The plan for ``n`` fingerprints; what is linked stays the same.
+
+        Three blocks with radius 1 compare a fingerprint with n / 95,000 others a tree, which
+        grows with n. Beyond WIDE the blocks are taken in pairs: of 4 differing bits one
+        pair of blocks holds 2 at most, so three trees of 42 or 43 bits and radius 2 find
+        every pair too, and compare with n / 9,000,000,000; their trees send more guests,
+        which pays only there.
+        """
+        if self.bits != 64 or self.limit != 4 or n < WIDE:
+            return self
+        a, b, c = Plan.exact().projections
+        return replace(self, projections=(a + b, a + c, b + c), radius=2)
+
     @classmethod
     def similar(cls, words: int = 5, bits: int = 256, limit: int = 48, projections: int = 32, size: int = 18, seed: int = 5) -> Plan:
         """A Jaccard similarity of 0.8 changes 39 of 256 bits on average, with a deviation of 6.
@@ -119,7 +135,12 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(df: DataFrame, plan: Plan, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bytes, most significant first."""
+    """(doc_id, fp): fp is the fingerprint's bytes, most significant first.
+
+    A bit that is set in exactly half the hashes is 0. Null and empty texts have no
+    shingles and the fingerprint zero. Texts of any length are read whole; repeated rows
+    stay. Other columns are left out.
+    """
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +148,7 @@ def fingerprints(df: DataFrame, plan: Plan, key: str = "doc_id", text: str = "te
             found = [fingerprint(t, plan.words, plan.bits)[::-1].astype(">u8").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "fp"])
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp binary")
+    return df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id long, fp binary")
 
 
 def _stack(fps: list[bytes], plan: Plan) -> np.ndarray:
@@ -135,9 +156,9 @@ def _stack(fps: list[bytes], plan: Plan) -> np.ndarray:
 
 
 def _keys(fps: np.ndarray, projection: tuple[int, ...]) -> np.ndarray:
-    out = np.zeros(len(fps), dtype=np.uint32)
+    out = np.zeros(len(fps), dtype=np.uint64)
     for i, bit in enumerate(projection):
-        out |= ((fps[:, bit // 64] >> np.uint64(bit % 64)) & np.uint64(1)).astype(np.uint32) << np.uint32(i)
+        out |= ((fps[:, bit // 64] >> np.uint64(bit % 64)) & np.uint64(1)) << np.uint64(i)
     return out
 
 
@@ -145,8 +166,8 @@ def _cut(keys: np.ndarray, rng: np.random.Generator) -> tuple[int, int] | None:
     """A vantage point among ``keys`` and the distance that halves them best; None if none of a few tried divides them."""
     best = None
     for v in rng.choice(keys, min(4, len(keys)), replace=False).tolist():
-        d = np.bitwise_count(keys ^ np.uint32(v))
-        below = np.cumsum(np.bincount(d, minlength=33)) / len(d)
+        d = np.bitwise_count(keys ^ keys.dtype.type(v))
+        below = np.cumsum(np.bincount(d, minlength=65)) / len(d)
         m = int(np.abs(below - 0.5).argmin())
         if 0 < below[m] < 1 and (best is None or abs(below[m] - 0.5) < best[0]):
             best = (abs(below[m] - 0.5), v, m)
@@ -157,7 +178,7 @@ def _plant(keys: np.ndarray, levels: int, rng: np.random.Generator) -> list | No
     """A tree as [vantage point, distance, left, right]; None where the sample ends."""
     if levels == 0 or len(keys) < 32 or (cut := _cut(keys, rng)) is None:
         return None
-    left = np.bitwise_count(keys ^ np.uint32(cut[0])) <= cut[1]
+    left = np.bitwise_count(keys ^ np.uint64(cut[0])) <= cut[1]
     return [*cut, _plant(keys[left], levels - 1, rng), _plant(keys[~left], levels - 1, rng)]
 
 
@@ -167,7 +188,7 @@ def _divide(v: int, m: int, radius: int, keys: np.ndarray, home: np.ndarray, gue
     Of a linked pair divided here, the right one is a guest on the left: its distance to
     the vantage point is at most ``radius`` more than that of the left one.
     """
-    dh, dg = np.bitwise_count(keys[home] ^ np.uint32(v)).astype(np.int16), np.bitwise_count(keys[guest] ^ np.uint32(v)).astype(np.int16)
+    dh, dg = np.bitwise_count(keys[home] ^ np.uint64(v)).astype(np.int16), np.bitwise_count(keys[guest] ^ np.uint64(v)).astype(np.int16)
     over = home[(dh > m) & (dh <= m + radius)]
     return (home[dh <= m], np.concatenate((guest[dg <= m + radius], over))), (home[dh > m], guest[dg > m - radius])
 
@@ -273,11 +294,9 @@ def pairs(fps: np.ndarray, n_home: int, keys: np.ndarray, size: np.ndarray, labe
     return np.concatenate(found)
 
 
-def _routed(nodes: DataFrame, plan: Plan) -> DataFrame:
-    """``nodes`` (rep long, fp binary, and more) dealt to the shards of all trees: tree, leaf, home and their columns."""
-    spark = nodes.sparkSession
-    ship(spark)
-    n = nodes.count()
+def _routed(nodes: DataFrame, plan: Plan, n: int) -> DataFrame:
+    """``n`` ``nodes`` (rep long, fp binary, and more) dealt to the shards of all trees: tree, leaf, home and their columns."""
+    ship(nodes.sparkSession)
     share = min(1.0, SAMPLE / max(1, n))
     some = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))).select("fp").collect()
     sample = _stack(sorted(bytes(r["fp"]) for r in some), plan)
@@ -302,6 +321,8 @@ def _routed(nodes: DataFrame, plan: Plan) -> DataFrame:
 
 def links(nodes: DataFrame, plan: Plan) -> DataFrame:
     """Edges (a, b) that connect what ``plan`` links among ``nodes`` (rep long, fp binary; one row a fingerprint)."""
+    n = nodes.count()
+    plan = plan.fitted(n)
 
     def search(key, shard):
         shard = shard.sort_by([("home", "descending"), ("rep", "ascending"), ("fp", "ascending")])
@@ -311,7 +332,7 @@ def links(nodes: DataFrame, plan: Plan) -> DataFrame:
         linked = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"a": rep[linked], "b": rep[label[linked]]})
 
-    return _routed(nodes.select("rep", "fp"), plan).groupBy("tree", "leaf").applyInArrow(search, "a long, b long")
+    return _routed(nodes.select("rep", "fp"), plan, n).groupBy("tree", "leaf").applyInArrow(search, "a long, b long")
 
 
 def _candidates(nodes: DataFrame, plan: Plan, every: bool) -> DataFrame:
@@ -326,7 +347,7 @@ def _candidates(nodes: DataFrame, plan: Plan, every: bool) -> DataFrame:
         at = rep[pairs(fps, n_home, _keys(fps, plan.projections[key[0].as_py()]), shard.column("size").to_numpy(), label, plan.limit, plan.radius, every)]
         return pa.table({"a": at.min(axis=1), "b": at.max(axis=1)})
 
-    return _routed(nodes.select("rep", "fp", "size", "label"), plan).groupBy("tree", "leaf").applyInArrow(search, "a long, b long").distinct()
+    return _routed(nodes.select("rep", "fp", "size", "label"), plan, nodes.count()).groupBy("tree", "leaf").applyInArrow(search, "a long, b long").distinct()
 
 
 def groups(df: DataFrame, plan: Plan, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -335,7 +356,8 @@ def groups(df: DataFrame, plan: Plan, key: str = "doc_id", text: str = "text") -
     Equal fingerprints are one node, named by their smallest id, so copies cost nothing
     in the search. A null or empty text has fingerprint zero and is linked like any
     other. Rows with a null id belong to the component of their fingerprint, null if no
-    row with an id has it. An id that occurs with several texts is one document.
+    row with an id has it. An id that occurs with several texts is one document, and
+    repeated rows stay repeated. An empty table gives an empty result.
     """
     marked = saved(fingerprints(df, plan, key, text), "fingerprints")
     nodes = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")

@@ -8,12 +8,23 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from millrace.llm import bpe, decontam, linededup, quality, simhash
+from millrace.llm import bpe, common, decontam, linededup, quality
 from tests.conftest import DATA
 from tests.llm.test_brute import _smallest
 
 WORDS = re.compile(quality.WORD)
 N = 120
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def plain_line_passes(line):
+    n, symbols, bars = len(WORDS.findall(line)), sum(line.count(c) for c in quality.SYMBOLS), line.count("|") + line.count(">")
+    if not n or not re.search(quality.ENDS, line) or symbols > quality.LINE_SYMBOLS * len(line) or re.search(quality.SHOUTING, line):
+        return False
+    steps, low = len(re.findall(quality.STEP, line)), line.lower()
+    if bars >= quality.SEPARATORS or (steps >= quality.TRAIL_STEPS and n - steps <= quality.STEP_WORDS * (steps + 1)) or re.search(quality.LABEL, low):
+        return False
+    return len(re.findall(quality.BOILERPLATE, low)) * quality.PHRASE_WORDS < n
 
 
 def plain_quality(docs):
@@ -24,13 +35,7 @@ def plain_quality(docs):
         repeated = {p + k for p, w in enumerate(zip(words, words[1:], words[2:])) if windows[w] > 1 for k in range(3)}
         if len(words) < quality.MIN_WORDS or 100 * len(repeated) > quality.REPEAT_PERCENT * len(words):
             continue
-        good = []
-        for line in text.split("\n"):
-            n, symbols, bars = len(WORDS.findall(line)), sum(line.count(c) for c in quality.SYMBOLS), line.count("|") + line.count(">")
-            ends = re.search(quality.ENDS, line)
-            if n and ends and symbols <= quality.LINE_SYMBOLS * len(line) and not re.search(quality.SHOUTING, line) and bars < quality.SEPARATORS:
-                if n > quality.BOILERPLATE_WORDS or not re.search(quality.BOILERPLATE, line.lower()):
-                    good.append(line)
+        good = [line for line in text.split("\n") if plain_line_passes(line)]
         if sum(len(WORDS.findall(x)) for x in good) >= quality.KEPT_SHARE * len(words):
             out[i] = "\n".join(good)
     return out
@@ -46,7 +51,7 @@ def plain_lines(docs):
         leaves[len(t), t[: linededup.DEPTH]].append(t)
     template = {t: t for t in holders}
     for (n, _), kinds in leaves.items():
-        if n < linededup.MIN_TOKENS or len(kinds) < 2 or sum(len(holders[t]) for t in kinds) < linededup.MIN_DOCS:
+        if len(kinds) < 2 or sum(len(holders[t]) for t in kinds) < linededup.MIN_DOCS:
             continue
         seen = Counter()
         for t in kinds:
@@ -69,16 +74,21 @@ def plain_lines(docs):
 
 
 def plain_near(docs):
-    plan = simhash.Plan.similar()
-    fp = {i: simhash.fingerprint(t, plan.words, plan.bits) for i, t in docs.items()}
-    near = [(a, b) for a in fp for b in fp if a < b and np.bitwise_count(fp[a] ^ fp[b]).sum() <= plan.limit]
-    roots = _smallest(fp, near)
+    """Sets of five-word shingles, compared pair by pair."""
+    words = {i: [w.translate(LOW) for w in WORDS.findall(t)] for i, t in docs.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    near = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    roots = _smallest(sets, near)
     return {i: t for i, t in docs.items() if roots[i] == i}
 
 
 def plain_leaks(docs, items):
-    texts = [n for t in items if len(n := decontam.normalised(t)) >= decontam.SHORTEST]
-    return {i: t for i, t in docs.items() if not any(decontam.myers(n, decontam.normalised(t), int(len(n) * decontam.EDITS)) for n in texts)}
+    def holds(text, item):
+        k = int(len(item) * decontam.EDITS)
+        return f" {item} " in f" {text} " if k == 0 else decontam.myers(item, text, k) is not None
+
+    wanted = [n for t in items if (n := decontam.normalised(t))]
+    return {i: t for i, t in docs.items() if not any(holds(decontam.normalised(t), n) for n in wanted)}
 
 
 @pytest.fixture(scope="module")
@@ -88,7 +98,8 @@ def folder(spark, tmp_path_factory):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").where(f"doc_id < {N}")
     more = docs.where("doc_id < 14").selectExpr("doc_id + 1000 AS doc_id", "concat(text, '\nEntry ', doc_id, ' of the long list of things.') AS text", "lang", "source", "n_chars")
     docs.unionByName(more).write.parquet(f"{place}/documents.parquet")
-    spark.read.parquet(f"{DATA}/benchmark.parquet").limit(15).write.parquet(f"{place}/benchmark.parquet")
+    short = spark.createDataFrame([(None, "of the long list"), (9001, "long lis")], "item_id long, text string")
+    spark.read.parquet(f"{DATA}/benchmark.parquet").limit(15).unionByName(short).write.parquet(f"{place}/benchmark.parquet")
     return str(place)
 
 
@@ -111,5 +122,25 @@ def test_stages(spark, folder):
     assert {r["doc_id"]: r["ids_sha256"] for r in whole} == want
 
 
+def test_a_run_leaves_only_what_its_result_reads(spark, folder):
+    common.forget(spark)
+    before = common.written()
+    rows = corpus_pipeline.run(spark, folder)
+    assert before == 0 and common.written() == 1 and rows.count() > 0
+
+
+def test_maps_and_clashing_names(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = ["row", "key", "other", "id", "h", "gone", "part", "kept", "rest", "ids", "n", "__row", "clean_text", "n_words"]
+    wide = docs.selectExpr("*", "map('a', doc_id, 'b', n_chars) AS tags", *[f"doc_id * {i} AS `{c}`" for i, c in enumerate(odd)])
+    narrow = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        wide, narrow = stage(spark, wide, folder), stage(spark, narrow, folder)
+        assert wide.columns == [*docs.columns, "tags", *odd]
+    rows = wide.collect()
+    assert sorted((r["doc_id"], r["text"]) for r in rows) == sorted((r["doc_id"], r["text"]) for r in narrow.collect())
+    assert all(r["tags"]["a"] == r["doc_id"] and all(r[c] == r["doc_id"] * i for i, c in enumerate(odd)) for r in rows)
+
+
 def test_shape():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near dedup", "decontamination", "encoding"]

@@ -7,12 +7,12 @@ import corpus_pipeline
 from millrace.llm import bpe, decontam, langid, licenses, linededup, quality, sharding, simhash, toxicity, urlfilter
 
 LONG = "All of this is one long line of prose, without an end in sight. " * 2000
-EXTRA = "n_words long, score string, shard int, h int, i int, kept string, labels string, ids int, lang_pred int, toxic int, base int, fp int, template string"
+EXTRA = "n_words long, score string, shard int, h int, i int, kept string, labels string, ids int, lang_pred int, toxic int, base int, fp int, template string, __drop int, __m int, __found int, __row int, gone int, row int, tags map<string,int>"
 
 
 def _rows():
     texts = [(1, "One fine day it rained."), (1, "One fine day it rained."), (None, "nobody"), (2, None), (3, ""), (4, " \n\t "), (5, LONG), (6, LONG), (7, "x" * 70_000), (8, "Ünïcödé\u00a0漢字 🙂.\n" * 3), (None, None), (8, "another text of eight")]
-    return [(i, t, None, None, None, *[None] * 13) for i, t in texts]
+    return [(i, t, None, None, None, *[None] * 19, {"a": 1, "b": 2}) for i, t in texts]
 
 
 @pytest.fixture(scope="module")
