@@ -10,58 +10,58 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontam, linededup, quality, simhash
-from millrace.llm.common import saved, table
+from millrace.llm.common import forget, hashable, packed, saved, table, unpacked, written
 
 #: No SQL: the stages hash with XXH64, measure edit distances and encode by byte pairs; tests hold them against brute force.
 ORACLE_SQL: str | None = None
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id and text, and the whole row as ``doc``."""
-    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+def _carried(docs: DataFrame) -> DataFrame:
+    """doc_id and text, and the whole row as ``row``, so that no column can clash with an operator's results."""
+    return docs.select("doc_id", "text", packed(docs).alias("row"))
 
 
-def _unpacked(packed: DataFrame, columns: list[str], text: Column | None = None) -> DataFrame:
-    """The rows again, with their new text and its length where there is one."""
-    new = {} if text is None else {"text": text, "n_chars": F.length(text).cast("long")}
-    return packed.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in columns])
+def _with_text(found: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows again, with the text of ``found`` and its length."""
+    return found.select(*unpacked(columns, "row", {"text": F.col("text"), "n_chars": F.length("text").cast("long")}))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others lose their failing lines."""
-    judged = quality.clean(_packed(docs))
-    return _unpacked(judged.where("kept"), docs.columns, F.col("clean_text"))
+    judged = quality.clean(_carried(docs)).where("kept")
+    return _with_text(judged.select("row", F.col("clean_text").alias("text")), docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go, and documents of which nothing is left."""
-    left = linededup.drop_recurring(_packed(docs))
-    return _unpacked(left.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs.columns, F.col("text"))
+    """Recurring lines go, and documents of which nothing is left. A null text stays null."""
+    left = linededup.drop_recurring(_carried(docs))
+    return _with_text(left.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the row with the smallest id stays, once; rows without an id come last.
 
     Linked are sets of five-word shingles with a similarity of 0.8 or more, exactly. Rows
-    are told apart by a digest of all columns, so that unlike texts of one id stay.
+    are told apart by two 64-bit digests of all columns, so that unlike texts of one id
+    stay, and of a row that is there several times one.
     """
-    held = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    rows = held.groupBy(F.col("__row").alias("key")).agg(F.first("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
-    found = simhash.alike(held, simhash.Plan.candidates(), "__row").join(rows, "key")
+    h0, h1 = (F.xxhash64(F.lit(i), *hashable(docs)) for i in range(2))
+    held = docs.select(packed(docs).alias("row"), h0.alias("key"), h1.alias("other"), F.col("doc_id").alias("id"), "text")
+    rows = held.groupBy("key").agg(F.first("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    found = simhash.alike(held, simhash.Plan.candidates(), "key").join(rows, "key")
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key", "n"))
-    stay = saved(found.groupBy("component").agg(first.alias("r")).select(F.col("r.key").alias("__row"), F.col("r.n").alias("__n")), "stay")
-    # of a row that is there several times one stays
-    single = held.join(stay.where("__n = 1"), "__row", "left_semi")
-    double = held.join(stay.where("__n > 1"), "__row", "left_semi").dropDuplicates(["__row"])
-    return single.unionByName(double).select(*docs.columns)
+    stay = saved(found.groupBy("component").agg(first.alias("r")).select("r.key", "r.n"), "stay")
+    single = held.join(stay.where("n = 1"), "key", "left_semi")
+    double = held.join(stay.where("n > 1"), "key", "left_semi").dropDuplicates(["key", "other"])
+    return single.unionByName(double).select(*unpacked(docs.columns, "row"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a benchmark item occurs go."""
+    """Documents in which a benchmark item occurs go; a null text holds none."""
     return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -88,10 +88,15 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each one's result is written to the shared folder and read again."""
+    """All stages over the documents; each one's result is written to the shared folder and read again.
+
+    What a stage wrote on its way, and what it read, is deleted once its result is written.
+    """
     docs = table(spark, sf_dir, "documents")
+    since = written()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = saved(docs, name.replace(" ", "-"))
+            forget(spark, since, 1)
     return docs
