@@ -28,8 +28,9 @@ KEPT_SHARE = 0.5
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 
-#: A sentence's end, or the end of a quotation; a lone \u00bb points onwards and ends nothing.
-ENDS = "(?:[.!?:;\u2026\"'\u201d\u2019)\\]]|[.!?\u2026][ \u00a0\u202f]?\u00bb|\u00ab[^\u00bb]*\u00bb)\\s*$"
+#: A line ends with one of these, or with a quotation; a lone » points onwards and ends nothing.
+STOPS = ".!?:;…\"'”’)]"
+ENDS = "(?:[.!?:;…\"'”’)\\]]|[.!?…][ \u00a0\u202f]?»|«[^»]*»)[ \t\n\\x0b\f\r]*$"
 SHOUTING = r"(!!.*){3}"
 #: What stands between the steps of a trail.
 STEP = r"[ \t][|>»›→•·/][ \t]"
@@ -42,17 +43,17 @@ LABELS = [
 LABEL = r"^[\s«»<>|‹›←→•·:.!–-]*(" + "|".join(LABELS) + r")[\s«»<>|‹›←→•·:.!–-]*$"
 #: Phrases of boilerplate in English, German, French and Spanish.
 PHRASES = [
-    "all rights reserved", "privacy policy", "terms of (use|service)", "cookie", "enable javascript", "click here", "subscribe to", "sign up", "log ?in", "lorem ipsum",
+    "all rights reserved", "privacy policy", "terms of (?:use|service)", "cookie", "enable javascript", "click here", "subscribe to", "sign up", "log ?in", "lorem ipsum",
     "read more", "share this", "powered by", "skip to content", "table of contents", "page [0-9]+ of [0-9]+", "copyright", r"\(c\) [0-9][0-9][0-9][0-9]",
     "alle rechte vorbehalten", "datenschutzerkl[äa]rung", "nutzungsbedingungen", "hier klicken", "jetzt anmelden", "weiterlesen", "mehr lesen", "mehr erfahren",
     "inhaltsverzeichnis", "seite [0-9]+ von [0-9]+", "zum inhalt springen", "javascript aktivieren", "newsletter abonnieren",
     "tous droits r[ée]serv[ée]s", "politique de confidentialit[ée]", "conditions d['’]utilisation", "cliquez ici", "lire la suite", "en savoir plus", "s['’]abonner",
     "activer javascript", "table des mati[èe]res", "page [0-9]+ sur [0-9]+", "aller au contenu", "mentions l[ée]gales",
-    "todos los derechos reservados", "pol[íi]tica de privacidad", "t[ée]rminos de uso", "aviso legal", "haga clic aqu[íi]", "leer m[áa]s", "suscr[íi]b(ete|ase)",
+    "todos los derechos reservados", "pol[íi]tica de privacidad", "t[ée]rminos de uso", "aviso legal", "haga clic aqu[íi]", "leer m[áa]s", "suscr[íi]b(?:ete|ase)",
     "activar javascript", "tabla de contenidos", "p[áa]gina [0-9]+ de [0-9]+", "saltar al contenido",
 ]
 #: A phrase at the beginning of a word, by first letters, so that most words fail at once.
-BOILERPLATE = "(^|[^a-z])(" + "|".join(f"{c}({'|'.join(x[1:] for x in PHRASES if x[0] == c)})" if c.isalpha() else "|".join(x for x in PHRASES if x[0] == c) for c in sorted({x[0] for x in PHRASES})) + ")"
+BOILERPLATE = "(?:^|[^a-z])(?:" + "|".join(f"{c}(?:{'|'.join(x[1:] for x in PHRASES if x[0] == c)})" if c.isalpha() else "|".join(x for x in PHRASES if x[0] == c) for c in sorted({x[0] for x in PHRASES})) + ")"
 
 
 def words_of(text: Column) -> Column:
@@ -69,7 +70,8 @@ def _without(text: Column, chars: str) -> Column:
 def repeated_words(words: Column) -> Column:
     """How many words lie in 3-word windows that occur twice or more.
 
-    Windows are compared by their 64-bit hashes: sorted, equal ones are neighbours.
+    Windows are compared by their 64-bit hashes. Where all differ, as in most texts, that
+    is all; else they are sorted, and equal ones are neighbours.
     """
 
     def covered(p: Column) -> Column:
@@ -81,24 +83,37 @@ def repeated_words(words: Column) -> Column:
         both = F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)))
         return let(F.sort_array(F.transform(both, lambda x: x["p"])), covered)
 
+    def counted(hashes: Column) -> Column:
+        placed = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p")))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(let(F.sort_array(placed), twice))
+
     def windows(w: Column) -> Column:
-        hashed = lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p"))
-        return let(F.sort_array(F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), hashed)), twice)
+        starts = F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0)))
+        return let(F.transform(starts, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), counted)
 
     return let(words, windows)
 
 
+def _ends(line: Column) -> Column:
+    """Whether a line matches ENDS, by its last character where that settles it."""
+    last = lambda r: F.right(r, F.lit(1))
+    return let(F.rtrim(line, F.lit(" \t\n\x0b\f\r")), lambda r: last(r).isin([*STOPS]) | ((last(r) == "»") & r.rlike(ENDS)))
+
+
+def _navigates(line: Column) -> Column:
+    """Whether a line is a trail, a row of bars or one link."""
+    trail = let(F.regexp_count(line, F.lit(STEP)), lambda k: (k >= TRAIL_STEPS) & (F.regexp_count(line, F.lit(WORD)) - k <= STEP_WORDS * (k + 1)))
+    bars = F.length(line) - F.length(_without(line, "|>")) >= SEPARATORS
+    return (line.rlike(STEP) & trail) | bars
+
+
 def line_passes(line: Column) -> Column:
     """Whether a line passes the rules of punctuation, navigation and boilerplate; one without a word does not."""
-    n = F.regexp_count(line, F.lit(WORD))
-    symbols = F.length(line) - F.length(_without(line, SYMBOLS))
-    bars = F.length(line) - F.length(_without(line, "|>"))
-    steps = F.regexp_count(line, F.lit(STEP))
-    punctuation = line.rlike(ENDS) & (symbols <= LINE_SYMBOLS * F.length(line)) & ~line.rlike(SHOUTING)
-    trail = (steps >= TRAIL_STEPS) & (n - steps <= STEP_WORDS * (steps + 1))
-    navigation = (bars >= SEPARATORS) | trail | F.lower(line).rlike(LABEL)
-    boilerplate = PHRASE_WORDS * F.regexp_count(F.lower(line), F.lit(BOILERPLATE)) >= n
-    return punctuation & (n > 0) & ~navigation & ~boilerplate
+    symbols = F.regexp_count(line, F.lit(f"[{SYMBOLS}]"))
+    punctuation = _ends(line) & (symbols <= LINE_SYMBOLS * F.length(line)) & ~(F.contains(line, F.lit("!!")) & line.rlike(SHOUTING))
+    phrases = lambda low: PHRASE_WORDS * F.regexp_count(low, F.lit(BOILERPLATE)) >= F.regexp_count(line, F.lit(WORD))
+    told = let(F.lower(line), lambda low: ~low.rlike(LABEL) & ~(low.rlike(BOILERPLATE) & phrases(low)))
+    return F.when(punctuation, F.when(~_navigates(line), told).otherwise(False)).otherwise(False)
 
 
 def clean(df: DataFrame, text: str = "text") -> DataFrame:
