@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from millrace.llm.common import ascii_lower, free, let, table
 from millrace.llm.license_rules import rules
 
-#: Words of a text whose A-Z are not yet lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word: letters and digits of ASCII, and all beyond ASCII; as classes that are quickly told.
+WORD = r"[\p{Alnum}\P{ASCII}]+"
+BETWEEN = r"[\p{ASCII}&&[^\p{Alnum}]]+"
 
 #: Phrases and labels: fixed values of the contract.
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
@@ -107,7 +107,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     df = free(df, new)
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     # on the text as it is: a superset of what the normalised words would say
-    gate = F.lower(value).rlike(f"(?<![0-9a-z]){keyword_pattern()}")
+    gate = F.lower(value).rlike(f"(?:^|[^0-9a-z]){keyword_pattern()}")
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(value), BETWEEN, " ")), F.lit(" "))
 
     def base(w: Column) -> Column:

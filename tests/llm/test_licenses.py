@@ -43,7 +43,7 @@ def _expanded(pattern):
 
 def plain(text):
     """All detections of all rules by rank, each kept unless a kept one overlaps it."""
-    words = " " + re.sub(licenses.BETWEEN, " ", (text or "").translate(LOW)).strip(" ") + " "
+    words = " " + re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", (text or "").translate(LOW)).strip(" ") + " "
     hits = []
     for r in licenses.rules():
         for m in re.finditer(r["re"], words):
