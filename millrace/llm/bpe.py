@@ -29,6 +29,8 @@ from millrace.llm.common import free, hashable, packed, ship, table, unpacked
 CHUNK = 4096
 OVERLAP = 256
 SPREAD = 8
+#: Pre-tokens that a worker remembers, some 5 MB.
+KNOWN = 40_000
 
 
 class Vocabulary:
@@ -97,20 +99,23 @@ def stitch(chunks: list[tuple[int, str, np.ndarray]], pattern: str) -> tuple[str
     return "".join(texts), np.concatenate([*done, tail])[1:]
 
 
-def encode_pieces(text: str, ends: np.ndarray, encoding: tiktoken.Encoding, known: dict[str, list[int]]) -> np.ndarray:
-    """The ids of the pre-tokens that end at ``ends``."""
-    out: list[int] = []
+def encode_pieces(text: str, ends: np.ndarray, encoding: tiktoken.Encoding, known: dict[str, bytes]) -> bytes:
+    """The ids of the pre-tokens that end at ``ends``, as little-endian unsigned 32-bit integers.
+
+    ``known`` holds ids of short pre-tokens that occurred; as bytes they are a tenth of a list.
+    """
+    out: list[bytes] = []
     at = 0
     for end in ends.tolist():
         piece = text[at:end]
         at = end
         ids = known.get(piece)
         if ids is None:
-            ids = encoding.encode_ordinary(piece)  # a pre-token alone is one match of the pattern
-            if len(known) < 200_000 and len(piece) < 64:
+            ids = np.array(encoding.encode_ordinary(piece), dtype="<u4").tobytes()  # a pre-token alone is one match of the pattern
+            if len(known) < KNOWN and len(piece) < 32:
                 known[piece] = ids
-        out += ids
-    return np.array(out, dtype="<u4")
+        out.append(ids)
+    return b"".join(out)
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -132,7 +137,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str =
 
         def one(value: str) -> bytes:
             whole, ends = stitch([(lo, x, boundaries(x, pattern, lo)) for lo, x in chunks_of(value)], pattern)
-            return encode_pieces(whole, ends, encoding, known).tobytes()
+            return encode_pieces(whole, ends, encoding, known)
 
         for held in batches:
             for lo in range(0, held.num_rows, 256):
@@ -171,7 +176,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str =
         rows = zip(*(chunks.column(c).to_pylist() for c in ("lo", "part", "ends")))
         whole, ends = stitch([(lo, x, np.frombuffer(e, dtype="<i8")) for lo, x, e in rows], pattern)
         found = encode_pieces(whole, ends, vocabulary.encoding(), {})
-        return pa.table({"kept": chunks.column("kept").slice(0, 1), "part": [whole], "ids": pa.array([found.tobytes()], pa.binary())})
+        return pa.table({"kept": chunks.column("kept").slice(0, 1), "part": [whole], "ids": pa.array([found], pa.binary())})
 
     part, kept = (T.StructField(f.name, f.dataType) for f in counted.schema.fields[2:])  # nullable: later chunks have no rest
     key = [T.StructField("h0", T.LongType()), T.StructField("h1", T.LongType())]

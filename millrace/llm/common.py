@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
@@ -34,8 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
-#: What ``saved`` wrote and ``forget`` has not deleted yet, oldest first.
-_WRITTEN: list[str] = []
+class _Written(threading.local):
+    """What ``saved`` wrote in this thread and ``forget`` has not deleted yet, oldest first."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_WRITTEN = _Written()
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
@@ -47,19 +54,19 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    _WRITTEN.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def written() -> int:
     """A mark for ``forget``: what is written from now on comes after it."""
-    return len(_WRITTEN)
+    return len(_WRITTEN.paths)
 
 
 def forget(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
     """Deletes what ``saved`` wrote since a mark, but for the last ``keep``; frames over it can no longer be read."""
-    gone = _WRITTEN[since : len(_WRITTEN) - keep]
-    _WRITTEN[since : len(_WRITTEN) - keep] = []
+    until = len(_WRITTEN.paths) - keep
+    gone, _WRITTEN.paths[since:until] = _WRITTEN.paths[since:until], []
     for path in gone:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)

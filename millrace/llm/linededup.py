@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SPACE_RUN, WORD, free, let, packed, saved, table, unpacked
+from millrace.llm.common import SPACE_RUN, WORD, forget, free, let, packed, saved, table, unpacked, written
 
 #: Leading tokens that lead to a leaf.
 DEPTH = 3
@@ -99,8 +99,12 @@ def drop_recurring(df: DataFrame, key: str = "doc_id", text: str = "text", min_d
     df = free(df, ["n_lines", "n_dropped"])
     own = F.col(f"`{text}`")
     rows = df.select(packed(df).alias("row"), F.col(f"`{key}`").alias("id"), F.xxhash64(own).alias("h"), own.alias("text"))
+    since = written()
     dropped = recurring(rows.select(F.col("id").alias("doc_id"), "text"), min_docs).groupBy("doc_id", "h").agg(F.collect_set("i").alias("gone"))
-    joined = rows.drop("text").alias("l").join(dropped.alias("r"), F.col("l.id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.h") == F.col("r.h")), "left").select("row", "gone")
+    dropped = saved(dropped, "dropped")
+    forget(df.sparkSession, since, 1)
+    # texts are joined by sorting at every size: what is dropped grows with the documents
+    joined = rows.drop("text").alias("l").join(dropped.hint("merge").alias("r"), F.col("l.id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.h") == F.col("r.h")), "left").select("row", "gone")
     whole = F.col(f"row.c{df.columns.index(text)}")
     lines = F.split(whole, "\n")
     # an array's difference is taken by hashing, so that long texts cost no more than their length

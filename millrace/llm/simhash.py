@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import saved, ship, table
+from millrace.llm.common import forget, saved, ship, table, written
 from millrace.llm.components import components
 
 #: Fingerprints that have their home in one shard, about.
@@ -40,6 +40,8 @@ SAMPLE = 20_000
 LEAF = 192
 #: From so many fingerprints on, exact plans take blocks in pairs (see Plan.fitted).
 WIDE = 1 << 33
+#: Shingles of one block of sets that are compared in one task, about.
+BLOCK = 1 << 18
 #: Sets are alike if they share at least 4 / 5 of their union.
 SHARED, UNION = 4, 5
 
@@ -257,12 +259,12 @@ def _leaves(n_home: int, keys: np.ndarray, radius: int, rng: np.random.Generator
             todo += list(_divide(*cut, radius, keys, home, guest))
 
 
-def pairs(fps: np.ndarray, n_home: int, keys: np.ndarray, size: np.ndarray, label: np.ndarray, limit: int, radius: int, every: bool) -> np.ndarray:
-    """Candidate pairs (rows of two places) of different labels: all of them, or a spanning forest of the nearest in each leaf.
+def pairs(fps: np.ndarray, n_home: int, keys: np.ndarray, size: np.ndarray, limit: int, radius: int) -> np.ndarray:
+    """Candidate pairs (rows of two places): a spanning forest of the nearest in each leaf, never all of them.
 
     Sets whose sizes alone keep them below the similarity are no candidates.
     """
-    label = label.copy()
+    label = np.arange(len(fps))
     found = [np.zeros((0, 2), dtype=np.int64)]
     for home, other in _leaves(n_home, keys, radius, np.random.default_rng(len(fps))):
         step = max(1, (1 << 19) // len(other))
@@ -276,9 +278,6 @@ def pairs(fps: np.ndarray, n_home: int, keys: np.ndarray, size: np.ndarray, labe
             near, a, b = d[i, j], some[i], other[j]
             fit = (label[a] != label[b]) & (UNION * np.minimum(size[a], size[b]) >= SHARED * np.maximum(size[a], size[b]))
             near, a, b = near[fit], a[fit], b[fit]
-            if every:
-                found.append(np.unique(np.column_stack((np.minimum(a, b), np.maximum(a, b))), axis=0))
-                continue
             order = np.argsort(near, kind="stable")
             a, b = a[order], b[order]
             while len(a):
@@ -294,6 +293,45 @@ def pairs(fps: np.ndarray, n_home: int, keys: np.ndarray, size: np.ndarray, labe
     return np.concatenate(found)
 
 
+def true_links(sets: list[np.ndarray], label: np.ndarray) -> np.ndarray:
+    """Links (rows of two places) between sets of different labels: a spanning forest of all there are.
+
+    Shared shingles are counted through an inverted index, a row of counts for a set. Of
+    two sets that end with different labels one is outside the most frequent label, so
+    rows are needed for those only; sets whose shingles are the most common come first,
+    as they lie in the middle of a group.
+    """
+    label = np.unique(label, return_inverse=True)[1]
+    found = [np.zeros((0, 2), dtype=np.int64)]
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    own = np.concatenate(([0], np.cumsum(size)))
+    shingle = np.unique(np.concatenate([*sets, np.zeros(0, dtype=np.int64)]), return_inverse=True)[1].astype(np.int32)
+    holders = np.repeat(np.arange(len(sets), dtype=np.int32), size)[np.argsort(shingle, kind="stable")]
+    often = np.bincount(shingle)
+    starts = np.concatenate(([0], np.cumsum(often)))
+    common = np.add.reduceat(np.append(often[shingle], 0), np.minimum(own[:-1], len(shingle))) / np.maximum(size, 1) if len(sets) else size
+    most = np.bincount(label).argmax() if len(sets) else 0
+    todo = np.argsort(-common, kind="stable").tolist()
+    while todo:
+        later = []
+        for x in todo:
+            if label[x] == most:
+                later.append(x)  # a later merge may make another label the most frequent
+                continue
+            mine = shingle[own[x] : own[x + 1]]
+            met = [holders[a:b] for a, b in zip(starts[mine].tolist(), starts[mine + 1].tolist())]
+            shared = np.bincount(np.concatenate(met), minlength=len(sets)) if met else np.zeros(len(sets), dtype=np.int64)
+            # shared / (x + y - shared) >= SHARED / UNION
+            alike = np.flatnonzero(((SHARED + UNION) * shared >= SHARED * (size + size[x])) & (label != label[x]))
+            if len(alike):
+                parts, first = np.unique(label[alike], return_index=True)
+                found.append(np.column_stack((np.full(len(parts), x), alike[first])))
+                label[np.isin(label, parts)] = label[x]
+                most = np.bincount(label).argmax()
+        todo = [x for x in later if label[x] != most]
+    return np.concatenate(found)
+
+
 def _routed(nodes: DataFrame, plan: Plan, n: int) -> DataFrame:
     """``n`` ``nodes`` (rep long, fp binary, and more) dealt to the shards of all trees: tree, leaf, home and their columns."""
     ship(nodes.sparkSession)
@@ -335,19 +373,18 @@ def links(nodes: DataFrame, plan: Plan) -> DataFrame:
     return _routed(nodes.select("rep", "fp"), plan, n).groupBy("tree", "leaf").applyInArrow(search, "a long, b long")
 
 
-def _candidates(nodes: DataFrame, plan: Plan, every: bool) -> DataFrame:
-    """Pairs (a, b), a < b, of ``nodes`` (rep, fp, size, label) that ``plan`` finds near each other and whose labels differ."""
+def _candidates(nodes: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs (a, b), a < b, that span what ``plan`` finds near each other among ``nodes`` (rep, fp, size)."""
 
     def search(key, shard):
         shard = shard.sort_by([("home", "descending"), ("rep", "ascending")])
         rep = shard.column("rep").to_numpy()
         fps = _stack(shard.column("fp").to_pylist(), plan)
-        _, label = np.unique(shard.column("label").to_numpy(), return_inverse=True)
         n_home = int(np.count_nonzero(shard.column("home").to_numpy()))
-        at = rep[pairs(fps, n_home, _keys(fps, plan.projections[key[0].as_py()]), shard.column("size").to_numpy(), label, plan.limit, plan.radius, every)]
+        at = rep[pairs(fps, n_home, _keys(fps, plan.projections[key[0].as_py()]), shard.column("size").to_numpy(), plan.limit, plan.radius)]
         return pa.table({"a": at.min(axis=1), "b": at.max(axis=1)})
 
-    return _routed(nodes.select("rep", "fp", "size", "label"), plan, nodes.count()).groupBy("tree", "leaf").applyInArrow(search, "a long, b long").distinct()
+    return _routed(nodes.select("rep", "fp", "size"), plan, nodes.count()).groupBy("tree", "leaf").applyInArrow(search, "a long, b long").distinct()
 
 
 def groups(df: DataFrame, plan: Plan, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -401,34 +438,81 @@ def _sets(df: DataFrame, plan: Plan) -> DataFrame:
 
 def _checked(found: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs of ``found`` (a, b) whose sets are alike."""
-    met = found.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b")
+    met = found.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a")
     # shared / (x + y - shared) >= SHARED / UNION
     return met.where((SHARED + UNION) * F.size(F.array_intersect("x", "y")) >= SHARED * (F.size("x") + F.size("y"))).select("a", "b")
 
 
+def _rest(parts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between the parts of a group of candidates; ``parts``: node, root (the group), part, size.
+
+    The nodes outside the largest part of a group are compared with all nodes of the
+    group, exactly and block against block, so that a group of any size is spread over
+    tasks of bounded memory. What comes out of a block is a spanning forest of its links.
+    """
+    counted = parts.groupBy("root", "part").agg(F.sum("size").alias("weight"), F.count(F.lit(1)).alias("n"))
+    largest = counted.groupBy("root").agg(F.max(F.struct("n", -F.col("part"))).alias("m"), F.sum("weight").alias("all"), F.count(F.lit(1)).alias("kinds"))
+    broken = largest.where("kinds > 1").select("root", "all", (-F.col("m.col2")).alias("main"))
+    blocks = lambda w: F.floor(w / BLOCK).cast("int") + 1
+    shape = counted.join(broken, "root").groupBy("root").agg(
+        F.first("main").alias("main"),
+        blocks(F.sum(F.when(F.col("part") == F.col("main"), F.col("weight")).otherwise(0))).alias("n_main"),
+        blocks(F.sum(F.when(F.col("part") != F.col("main"), F.col("weight")).otherwise(0))).alias("n_out"),
+    )
+    shape = saved(shape, "shape")
+    placed = parts.join(shape, "root").withColumn("out", F.col("part") != F.col("main"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("out"), F.col("n_out")).otherwise(F.col("n_main"))).cast("int"))
+    row = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    # tasks are pairs (x, y): block x of the outer nodes against block y of the outer ones (from x on), or against block y - n_out of the main part
+    total = F.col("n_out") + F.col("n_main")
+    as_left = F.transform(F.sequence(F.col("block"), total - 1), lambda y: row(F.col("block"), y))
+    as_right = F.transform(F.sequence(F.lit(0), F.col("block")), lambda x: row(x, F.col("block")))
+    as_main = F.transform(F.sequence(F.lit(0), F.col("n_out") - 1), lambda x: row(x, F.col("block") + F.col("n_out")))
+    tasks = F.when(F.col("out"), F.array_distinct(F.concat(as_left, as_right))).otherwise(as_main)
+    dealt = placed.join(sets.withColumnRenamed("rep", "node"), "node").select("root", "node", "part", "set", F.explode(tasks).alias("t"))
+
+    def search(key, shard):
+        shard = shard.sort_by("node")
+        node = shard.column("node").to_numpy()
+        held = shard.column("set").combine_chunks()
+        values, ends = held.flatten().to_numpy(), held.offsets.to_numpy() - held.offsets[0].as_py()
+        at = node[true_links([values[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())], shard.column("part").to_numpy())]
+        return pa.table({"a": at.min(axis=1), "b": at.max(axis=1)})
+
+    return dealt.select("root", "t.x", "t.y", "node", "part", "set").groupBy("root", "x", "y").applyInArrow(search, "a long, b long").distinct()
+
+
+def _stars(tried: DataFrame, reached: DataFrame) -> DataFrame:
+    """Pairs (a, b): the node of most pairs in each group of candidates, and every other node of the group."""
+    degree = tried.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    centre = reached.join(degree, "node").groupBy("root").agg(F.max(F.struct("n", (-F.col("node")).alias("node"))).alias("m")).select("root", (-F.col("m.node")).alias("a"))
+    return reached.join(saved(centre, "centres"), "root").select("a", F.col("node").alias("b")).where("a != b")
+
+
 def alike(df: DataFrame, plan: Plan, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, component) for every key of ``df``, once: rows are linked if their shingle sets have a similarity of 0.8 or more.
 
-    ``key`` (long) is not null and names one text. Fingerprints only propose pairs. First a spanning
-    forest of them is checked; where the links that hold leave a group of candidates in
-    several parts, all candidates between those parts are checked too, so that a link
-    lost with the forest's other pairs is found again.
+    ``key`` (long) is not null and names one text. Fingerprints only propose pairs, which
+    form groups of candidates: first every text of a group is compared with the one that
+    has the most pairs, exactly. Where that leaves a group in several parts, its texts
+    are compared exactly until no link between the parts is left out. Null and empty texts have empty sets, which are equal.
+    Equal sets are one node, so copies cost nothing in the search.
     """
+    spark, since = df.sparkSession, written()
     marked = saved(_signatures(df, plan, key, text), "signatures")
     nodes = saved(marked.groupBy("digest").agg(F.min("key").alias("rep"), F.first("fp").alias("fp"), F.first("size").alias("size")), "nodes")
-    tried = saved(_candidates(nodes.withColumn("label", F.col("rep")), plan, False), "candidates")
+    tried = saved(_candidates(nodes, plan), "candidates")
     reached = saved(components(tried), "reached")
     texts = df.select(F.col(key).alias("rep"), F.col(text).alias("text")).join(reached.select(F.col("node").alias("rep")), "rep", "left_semi").dropDuplicates(["rep"])
     sets = saved(_sets(texts, plan), "sets")
-    held = saved(_checked(tried, sets), "links")
-    parts = saved(reached.join(components(held).select("node", F.col("root").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node")), "parts")
-    broken = parts.groupBy("root").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("root")
-    rest = parts.join(broken, "root", "left_semi").select(F.col("node").alias("rep"), F.col("part").alias("label"))
-    rest = saved(nodes.join(rest, "rep").select("rep", "fp", "size", "label"), "rest")
-    more = _checked(_candidates(rest, plan, True).join(tried, ["a", "b"], "left_anti"), sets)
-    roots = components(held.unionByName(more))
+    held = saved(_checked(_stars(tried, reached), sets), "links")
+    parts = reached.join(components(held).select("node", F.col("root").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    parts = saved(parts.join(nodes.select(F.col("rep").alias("node"), "size"), "node"), "parts")
+    roots = components(saved(held.unionByName(_rest(parts, sets)), "all-links"))
     named = nodes.join(roots, nodes["rep"] == roots["node"], "left").select("digest", F.coalesce("root", "rep").alias("component"))
-    return marked.select("key", "digest").distinct().join(named, "digest").select("key", "component")
+    told = saved(marked.select("key", "digest").distinct().join(named, "digest").select("key", "component"), "alike")
+    forget(spark, since, 1)
+    return told
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
