@@ -46,18 +46,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the row with the smallest id stays, once; rows without an id come last.
 
     Linked are sets of five-word shingles with a similarity of 0.8 or more, exactly. Rows
-    are told apart by two 64-bit digests of all columns, so that unlike texts of one id
-    stay, and of a row that is there several times one.
+    are told apart by a 64-bit digest of all columns, so that unlike texts of one id stay,
+    and of a row that is there several times one.
     """
-    h0, h1 = (F.xxhash64(F.lit(i), *hashable(docs)) for i in range(2))
-    held = docs.select(packed(docs).alias("row"), h0.alias("key"), h1.alias("other"), F.col("doc_id").alias("id"), "text")
-    rows = held.groupBy("key").agg(F.first("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    since = written()
+    held = docs.select(packed(docs).alias("row"), F.xxhash64(*hashable(docs)).alias("key"), F.col("doc_id").alias("id"), "text")
+    rows = held.groupBy("key").agg(F.first("id").alias("id"))
     found = simhash.alike(held, simhash.Plan.candidates(), "key").join(rows, "key")
-    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key", "n"))
-    stay = saved(found.groupBy("component").agg(first.alias("r")).select("r.key", "r.n"), "stay")
-    single = held.join(stay.where("n = 1"), "key", "left_semi")
-    double = held.join(stay.where("n > 1"), "key", "left_semi").dropDuplicates(["key", "other"])
-    return single.unionByName(double).select(*unpacked(docs.columns, "row"))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key"))
+    stay = saved(found.groupBy("component").agg(first.alias("r")).select("r.key"), "stay")
+    forget(spark, since, 1)
+    # equal rows become one in each task before anything moves; the join then finds them where they lie
+    return held.select("key", "row").dropDuplicates(["key"]).join(stay, "key", "left_semi").select(*unpacked(docs.columns, "row"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
