@@ -217,13 +217,13 @@ def unique_violations_scoped(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(
     "unique_conflicts",
-    """SELECT n.p_partkey FROM part n WHERE n.p_partkey <= 50 AND EXISTS
+    """SELECT n.p_partkey FROM part n WHERE EXISTS
        (SELECT 1 FROM part e WHERE lower(e.p_name) = lower(n.p_name) AND e.p_brand IS NOT DISTINCT FROM n.p_brand AND e.p_partkey <> n.p_partkey)""",
 )
 def unique_conflicts(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
     rule = Unique(("p_name",), ("p_brand",), ignore_case=True)
-    return constraints.conflicts(part.where("p_partkey <= 50"), part, rule, "p_partkey").select("p_partkey")
+    return constraints.conflicts(part, part, rule, "p_partkey").select("p_partkey")
 
 
 # --- messaging -----------------------------------------------------------------------
@@ -275,32 +275,41 @@ class _shapes:
         self.courses = u.select(F.col("c_custkey").alias("id"), F.concat(F.lit("course"), F.col("c_custkey").cast("string")).alias("avatar_url"))
 
 
-_UNREAD = """FROM messages m JOIN members c ON c.conversation_id = m.conversation_id WHERE c.user_id = 1 AND m.sender_id != 1 AND m.deleted_for_everyone = false
-  AND m.id > coalesce((SELECT r.last_message_id FROM receipts r WHERE r.conversation_id = m.conversation_id AND r.user_id = 1), 0)"""
+#: By conversation of the user, the messages beyond the receipt: receipts grouped and joined.
+_UNREAD = """, seen AS (
+  SELECT conversation_id, max(last_message_id) AS upto FROM receipts WHERE user_id = 1 GROUP BY conversation_id
+), news AS (
+  SELECT conversation_id, id FROM (SELECT * FROM messages SEMI JOIN (FROM members WHERE user_id = 1) USING (conversation_id)) LEFT JOIN seen USING (conversation_id)
+  WHERE sender_id <> 1 AND deleted_for_everyone IS FALSE AND (upto IS NULL OR id > upto)
+)"""
 
 
-@_query("unread_total", f"{_SHAPES} SELECT count(*) AS total {_UNREAD}")
+@_query("unread_total", f"{_SHAPES}{_UNREAD} SELECT count(*) AS total FROM news")
 def unread_total(spark: SparkSession, d: str) -> DataFrame:
     s = _shapes(spark, d)
     return messaging.unread_total(s.messages, s.members, s.receipts, USER)
 
 
-@_query("unread_by_conv", f"{_SHAPES} SELECT m.conversation_id, count(*) AS unread_count {_UNREAD} GROUP BY m.conversation_id")
+@_query("unread_by_conv", f"{_SHAPES}{_UNREAD} SELECT conversation_id, count(*) AS unread_count FROM news GROUP BY conversation_id")
 def unread_by_conv(spark: SparkSession, d: str) -> DataFrame:
     s = _shapes(spark, d)
     return messaging.unread_counts(s.messages, s.members, s.receipts, USER)
 
 
-@_query("unread_map", f"{_SHAPES} SELECT count(*) AS n, sum(unread_count) AS total FROM (SELECT m.conversation_id, count(*) AS unread_count {_UNREAD} GROUP BY m.conversation_id)")
+@_query("unread_map", f"{_SHAPES}{_UNREAD} SELECT count(DISTINCT conversation_id) AS n, CAST(count(*) AS BIGINT) AS total FROM news")
 def unread_map(spark: SparkSession, d: str) -> DataFrame:
     s = _shapes(spark, d)
     counts = projection.as_map(messaging.unread_counts(s.messages, s.members, s.receipts, USER), "conversation_id", "unread_count", "m")
     return counts.select(F.size("m").cast("long").alias("n"), F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-_SEARCH = """{s} SELECT c.id, c.type, c.title FROM convs c JOIN members m ON m.conversation_id = c.id WHERE m.user_id = 1 AND
-  ((c.type = 'GROUP' AND c.title ILIKE '%{q}%') OR (c.type = 'DIRECT' AND EXISTS (SELECT 1 FROM members m2 JOIN users u ON m2.user_id = u.id
-    WHERE m2.conversation_id = c.id AND m2.user_id != 1 AND u.full_name ILIKE '%{q}%')))"""
+#: The two kinds of conversations are found one by one and put together.
+_SEARCH = """{s}, found AS (
+  SELECT id FROM convs WHERE type = 'GROUP' AND regexp_matches(title, '{q}', 'i')
+  UNION
+  SELECT conversation_id FROM (FROM members WHERE user_id <> 1) p JOIN users ON users.id = p.user_id AND regexp_matches(full_name, '{q}', 'i')
+    JOIN (SELECT id AS conversation_id FROM convs WHERE type = 'DIRECT') USING (conversation_id)
+) SELECT id, type, title FROM convs SEMI JOIN found USING (id) SEMI JOIN (SELECT conversation_id AS id FROM members WHERE user_id = 1) USING (id)"""
 
 
 @_query("conversation_search", _SEARCH.format(s=_SHAPES, q="c 1"))
@@ -330,16 +339,17 @@ def conversation_total(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(
     "direct_between",
-    f"""{_SHAPES} SELECT c.id FROM convs c WHERE c.type = 'DIRECT' AND EXISTS (SELECT 1 FROM members m WHERE m.conversation_id = c.id AND m.user_id = 1)
-        AND EXISTS (SELECT 1 FROM members m WHERE m.conversation_id = c.id AND m.user_id = 3)""",
+    f"""{_SHAPES} SELECT id FROM convs JOIN members ON conversation_id = id AND user_id IN (1, 3)
+        WHERE type = 'DIRECT' GROUP BY id HAVING count(DISTINCT user_id) = 2""",
 )
 def direct_between(spark: SparkSession, d: str) -> DataFrame:
     s = _shapes(spark, d)
     return messaging.direct_between(s.conversations, s.members, 1, 3).select("id")
 
 
-_PARTNERS = """SELECT m.user_id FROM members m WHERE m.user_id != 1 AND m.conversation_id IN (SELECT c.id FROM convs c WHERE c.type = 'DIRECT'
-  AND EXISTS (SELECT 1 FROM members m2 WHERE m2.conversation_id = c.id AND m2.user_id = 1))"""
+#: Members paired with members of the same direct conversation, seen from user 1.
+_PARTNERS = """SELECT other.user_id FROM members me JOIN members other USING (conversation_id) JOIN convs ON convs.id = conversation_id
+  WHERE me.user_id = 1 AND other.user_id <> 1 AND type = 'DIRECT'"""
 
 
 @_query("partners", f"{_SHAPES} {_PARTNERS}")
@@ -348,10 +358,10 @@ def partners(spark: SparkSession, d: str) -> DataFrame:
     return messaging.direct_partners(s.conversations, s.members, USER)
 
 
-@_query("contacts", f"{_SHAPES} SELECT u.id AS user_id, u.full_name FROM users u WHERE u.id <= 40 AND u.id != 1 AND u.id NOT IN ({_PARTNERS}) AND contains(lower(u.full_name), '1')")
+@_query("contacts", f"{_SHAPES} SELECT u.id AS user_id, u.full_name FROM users u WHERE u.id <> 1 AND u.id NOT IN ({_PARTNERS}) AND contains(lower(u.full_name), '1')")
 def contacts(spark: SparkSession, d: str) -> DataFrame:
     s = _shapes(spark, d)
-    candidates = s.users.where("id <= 40").select(F.col("id").alias("position"), F.col("id").alias("user_id"), F.lit("peer").alias("role"))
+    candidates = s.users.select(F.col("id").alias("position"), F.col("id").alias("user_id"), F.lit("peer").alias("role"))
     candidates = candidates.unionByName(candidates)
     return messaging.contacts(candidates, messaging.direct_partners(s.conversations, s.members, USER), s.users, USER, " 1").select("user_id", "full_name")
 
@@ -500,9 +510,12 @@ def event_defaults(spark: SparkSession, d: str) -> DataFrame:
     return calendar.with_defaults(asked, F.lit(_DAY).cast("date")).select("doc_id", "title", F.col("event_date").cast("string"), "start_time", "end_time", "color")
 
 
-@_query("utc_stamps", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M') AS minute FROM events")
+@_query("utc_stamps", """SELECT event_id, CASE WHEN epoch_us(ts) % 60000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%MZ')
+     WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ')
+     WHEN epoch_us(ts) % 1000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST((epoch_us(ts) // 1000) % 1000 AS VARCHAR), 3, '0') || 'Z'
+     ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') END AS stamp FROM events""")
 def utc_stamps(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.substring(times.utc_text(F.col("ts")), 1, 16).alias("minute"))
+    return table(spark, d, "events").select("event_id", times.utc_text(F.col("ts")).alias("stamp"))
 
 
 # --- access --------------------------------------------------------------------------
@@ -513,10 +526,10 @@ def authority_cross(spark: SparkSession, d: str) -> DataFrame:
     return access.generated(table(spark, d, "region").select(F.col("r_name").alias("resource")), table(spark, d, "part").select(F.col("p_type").alias("action")))
 
 
-@_query("authority_missing", "SELECT DISTINCT p_type AS name FROM part EXCEPT SELECT p_type FROM part WHERE p_partkey < 20")
+@_query("authority_missing", "SELECT DISTINCT p_name AS name FROM part EXCEPT SELECT p_type FROM part")
 def authority_missing(spark: SparkSession, d: str) -> DataFrame:
-    part = table(spark, d, "part").select(F.col("p_type").alias("name"), "p_partkey")
-    return access.missing(part, part.where("p_partkey < 20"))
+    part = table(spark, d, "part")
+    return access.missing(part.select(F.col("p_name").alias("name")), part.select(F.col("p_type").alias("name")))
 
 
 @_query("authority_union", "SELECT p_type AS name FROM part UNION SELECT p_brand FROM part UNION SELECT r_name FROM region")
@@ -611,17 +624,19 @@ def key_changes(spark: SparkSession, d: str) -> DataFrame:
 # --- state and life cycle ------------------------------------------------------------
 
 
-@_query("merge_state", "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS status FROM orders UNION ALL SELECT -o_orderkey, 'N' FROM orders WHERE o_orderkey <= 10")
+@_query("merge_state", "SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'X' ELSE o_orderstatus END AS status FROM orders UNION ALL SELECT -o_orderkey, 'N' FROM orders WHERE o_orderstatus = 'P'")
 def merge_state(spark: SparkSession, d: str) -> DataFrame:
-    now = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
-    changes = now.where("o_orderkey % 10 = 0").withColumn("status", F.lit("X")).unionByName(now.where("o_orderkey <= 10").select((-F.col("o_orderkey")).alias("o_orderkey"), F.lit("N").alias("status")))
+    orders = table(spark, d, "orders")
+    now = orders.select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    urgent = orders.where("o_orderpriority = '1-URGENT'").select("o_orderkey", F.lit("X").alias("status"))
+    changes = urgent.unionByName(orders.where("o_orderstatus = 'P'").select((-F.col("o_orderkey")).alias("o_orderkey"), F.lit("N").alias("status")))
     return state.upserted(now, changes, ["o_orderkey"])
 
 
-@_query("replace_state", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey <> 7 UNION ALL SELECT o_orderkey, 7 FROM orders WHERE o_orderkey < 5")
+@_query("replace_state", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey <> 7 UNION ALL SELECT o_orderkey, 7 FROM orders WHERE o_orderstatus = 'P'")
 def replace_state(spark: SparkSession, d: str) -> DataFrame:
-    now = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    return state.replaced(now, F.col("o_custkey") == 7, now.where("o_orderkey < 5").withColumn("o_custkey", F.lit(7).cast("long")))
+    orders = table(spark, d, "orders")
+    return state.replaced(orders.select("o_orderkey", "o_custkey"), F.col("o_custkey") == 7, orders.where("o_orderstatus = 'P'").select("o_orderkey", F.lit(7).cast("long").alias("o_custkey")))
 
 
 @_query("ensure_state", "SELECT DISTINCT p_brand AS name FROM part UNION SELECT DISTINCT p_type FROM part")
@@ -664,18 +679,17 @@ def evict_oldest(spark: SparkSession, d: str) -> DataFrame:
     return state.evicted(devices, 5).select("user_id", "device_id")
 
 
-@_query("index_names", "SELECT name, change FROM (VALUES ('own', 'replace'), ('old', 'drop')) v(name, change)")
+@_query("index_names", "SELECT name, change FROM (VALUES ('own', 'replace'), ('old', 'drop'), ('entity_idx_' || substr(translate(to_base64(unhex(sha256('a:-1|b:null'))), '+/=', '-_'), 1, 10), 'create')) v(name, change)")
 def index_names(spark: SparkSession, d: str) -> DataFrame:
     schema = "name string, fields array<struct<path:string,direction:int>>"
     desired = state.index_names(spark.createDataFrame([("own", [("a", 1)]), (None, [("A", -1), ("b", None)])], schema))
     existing = spark.createDataFrame([("own",), ("old",), ("_id_",)], "name string")
-    return state.index_changes(desired, existing).where("name NOT LIKE 'entity_idx_%'")
+    return state.index_changes(desired, existing)
 
 
-@_query("short_digests", "SELECT r_name, length(r_name) > 0 AS ok, 10 AS n FROM region")
+@_query("short_digests", "SELECT r_name, substr(translate(to_base64(unhex(sha256(r_name))), '+/=', '-_'), 1, 10) AS digest FROM region")
 def short_digests(spark: SparkSession, d: str) -> DataFrame:
-    digest = crypto.short_digest(F.col("r_name"))
-    return table(spark, d, "region").select("r_name", digest.rlike("^[A-Za-z0-9_-]{10}$").alias("ok"), F.length(digest).alias("n"))
+    return table(spark, d, "region").select("r_name", crypto.short_digest(F.col("r_name")).alias("digest"))
 
 
 @_query("text_functions", "SELECT p_partkey, lower(p_name) AS low, 'Dear ' || p_brand || '!' AS filled, '7' AS user_id, p_type AS kept FROM part")
