@@ -17,6 +17,7 @@ from millrace.operators import access, calendar, constraints, messaging, state
 from millrace.plans import compile as plans
 from millrace.plans import language, projection
 from millrace.plans.language import Definition, Field, Unique
+from millrace.sources import sinks, tables
 from millrace.sources.tables import table
 from millrace.streaming import frames, runs
 
@@ -110,6 +111,66 @@ def variant_bracketed(spark: SparkSession, d: str) -> DataFrame:
     return plans.filtered(_records(spark, d), language.plan({"k_contains": "7"})).select("_id")
 
 
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    """Records whose field v is a number, a text, a list of texts, or missing."""
+    o = table(spark, d, "orders")
+    kind, number = F.col("o_orderkey") % 4, F.col("o_totalprice").cast("long")
+    fields = F.when(kind == 0, F.to_json(F.struct(number.alias("v")))).when(kind == 1, F.to_json(F.struct(F.col("o_orderpriority").alias("v"))))
+    fields = fields.when(kind == 2, F.to_json(F.struct(F.array("o_orderstatus", "o_orderpriority").alias("v")))).otherwise(F.lit('{"w": {"v": 1}}'))
+    return o.select(F.col("o_orderkey").alias("_id"), F.parse_json(fields).alias("data"))
+
+
+@_query(
+    "variant_sort",
+    """SELECT o_orderkey AS _id FROM orders ORDER BY CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 END NULLS FIRST,
+       CASE WHEN o_orderkey % 4 = 0 THEN trunc(o_totalprice) END, CASE o_orderkey % 4 WHEN 1 THEN o_orderpriority
+       WHEN 2 THEN '["' || o_orderstatus || '","' || o_orderpriority || '"]' END, o_orderkey LIMIT 100 OFFSET (SELECT count(*) FROM orders WHERE o_orderkey % 4 = 3)""",
+)
+def variant_sort(spark: SparkSession, d: str) -> DataFrame:
+    plan = language.plan({"sort.key": "v"})
+    missing = table(spark, d, "orders").where("o_orderkey % 4 = 3").count()
+    return plans.ordered(_mixed(spark, d), plan, "_id").offset(missing).limit(100).select("_id")
+
+
+@_query("variant_contains_list", "SELECT o_orderkey AS _id FROM orders WHERE o_orderkey % 4 IN (1, 2) AND regexp_matches(o_orderpriority, 'urg', 'i')")
+def variant_contains_list(spark: SparkSession, d: str) -> DataFrame:
+    return plans.filtered(_mixed(spark, d), language.plan({"v_contains": "URG"})).select("_id")
+
+
+@_query(
+    "variant_public",
+    """SELECT o_orderkey AS _id, CASE o_orderkey % 4 WHEN 0 THEN CAST(CAST(trunc(o_totalprice) AS BIGINT) AS VARCHAR) WHEN 1 THEN o_orderpriority END AS v,
+       CASE WHEN o_orderkey % 4 = 2 THEN 2 END AS n_items, CASE WHEN o_orderkey % 4 = 3 THEN 1 END AS inner_v FROM orders""",
+)
+def variant_public(spark: SparkSession, d: str) -> DataFrame:
+    definition = Definition("mixed", (Field("v", public=True), Field("v", group="w", public=True), Field("x")), public_get=True)
+    seen = projection.public(_mixed(spark, d), definition)
+    value = F.try_variant_get("data", "$.v", "variant")
+    return seen.select(
+        "_id",
+        F.when(~F.schema_of_variant(value).startswith("ARRAY"), F.try_variant_get("data", "$.v", "string")).alias("v"),
+        F.size(F.try_variant_get("data", "$.v", "array<variant>")).alias("n_items"),
+        F.try_variant_get("data", "$.w.v", "int").alias("inner_v"),
+    )
+
+
+@_query(
+    "variant_unique",
+    """SELECT o_orderkey AS _id FROM orders o WHERE o_orderkey % 4 IN (1, 2) AND (SELECT count(*) FROM orders p WHERE p.o_orderkey % 4 IN (1, 2) AND p.o_orderpriority = o.o_orderpriority) > 1
+       OR o_orderkey % 4 = 2 AND (SELECT count(*) FROM orders p WHERE p.o_orderkey % 4 = 2 AND p.o_orderstatus = o.o_orderstatus) > 1
+       OR o_orderkey % 4 = 0 AND (SELECT count(*) FROM orders p WHERE p.o_orderkey % 4 = 0 AND trunc(p.o_totalprice) = trunc(o.o_totalprice)) > 1""",
+)
+def variant_unique(spark: SparkSession, d: str) -> DataFrame:
+    records = _mixed(spark, d)
+    return constraints.conflicts(records, records, Unique(("data.v",), ignore_case=True), "_id").select("_id")
+
+
+@_query("variant_violations", "SELECT CAST(trunc(o_totalprice) AS DOUBLE) AS v, count(*) AS copies FROM orders WHERE o_orderkey % 4 = 0 GROUP BY ALL HAVING count(*) > 1")
+def variant_violations(spark: SparkSession, d: str) -> DataFrame:
+    found = constraints.violations(_mixed(spark, d), Unique(("data.v",)))
+    return found.where(F.col("data_v").startswith("n:")).select(F.substring("data_v", 3, 40).cast("double").alias("v"), "copies")
+
+
 _TRANSLATED = Definition("docs", (Field("title"),), allow_filters=True, allow_search=True, allow_sort=True)
 
 
@@ -704,6 +765,157 @@ def text_functions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@_query("by_key", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 7")
+def by_key(spark: SparkSession, d: str) -> DataFrame:
+    return tables.by_key(table(spark, d, "orders"), "o_orderkey", 7).select("o_orderkey", "o_custkey")
+
+
+@_query("by_nested_key", "SELECT o_orderkey AS _id FROM orders WHERE o_orderkey = 9")
+def by_nested_key(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "orders").select(F.col("o_orderkey").alias("_id"), F.struct(F.col("o_orderkey").alias("number")).alias("data"))
+    return tables.by_key(records, "data.number", 9).select("_id")
+
+
+@_query("row_exists", "SELECT count(*) > 0 AS found FROM orders WHERE o_totalprice > 1e12")
+def row_exists(spark: SparkSession, d: str) -> DataFrame:
+    return tables.exists(table(spark, d, "orders"), F.col("o_totalprice") > 1e12)
+
+
+@_query("byte_ranges", "SELECT doc_id, substr(source, 2, 3) AS middle, substr(source, 3) AS tail, right(source, 2) AS last FROM documents")
+def byte_ranges(spark: SparkSession, d: str) -> DataFrame:
+    cut = lambda h: tables.byte_range(F.col("source").cast("binary"), h).cast("string")
+    return table(spark, d, "documents").select("doc_id", cut("bytes=1-3").alias("middle"), cut("bytes=2-").alias("tail"), cut("bytes=-2").alias("last"))
+
+
+@_query("insert_state", "SELECT n_nationkey AS id, n_name AS name, NULL AS note FROM nation UNION ALL SELECT r_regionkey + 100, r_name, 'new' FROM region")
+def insert_state(spark: SparkSession, d: str) -> DataFrame:
+    now = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("note"))
+    rows = table(spark, d, "region").select((F.col("r_regionkey") + 100).alias("id"), F.col("r_name").alias("name"), F.lit("new").alias("note"))
+    return state.inserted(now, rows).select(F.col("id").cast("long"), "name", "note")
+
+
+@_query("seeded_state", "SELECT r_name AS name FROM region UNION SELECT n_name FROM nation UNION SELECT r_name FROM region")
+def seeded_state(spark: SparkSession, d: str) -> DataFrame:
+    regions, nations = table(spark, d, "region").select(F.col("r_name").alias("name")), table(spark, d, "nation").select(F.col("n_name").alias("name"))
+    return sinks.seeded(regions, (regions, ["name"]), (nations, ["name"]), (regions, ["name"]))
+
+
+@_query("audited_rows", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN '2023-05-01' ELSE '2024-01-15' END AS created, '2024-01-15' AS updated, CASE WHEN o_orderstatus = 'F' THEN 'clerk' ELSE 'me' END AS by FROM orders")
+def audited_rows(spark: SparkSession, d: str) -> DataFrame:
+    old = F.col("o_orderstatus") == "F"
+    rows = table(spark, d, "orders").select("o_orderkey", F.when(old, F.lit("2023-05-01").cast("date")).alias("createdAt"), F.lit(None).cast("date").alias("updatedAt"), F.when(old, "clerk").alias("createdBy"))
+    done = state.synced(state.audited(rows, F.lit(_DAY).cast("date"), "me"), F.lit(_DAY).cast("date"))
+    return done.select("o_orderkey", F.col("createdAt").cast("string").alias("created"), F.col("updatedAt").cast("string").alias("updated"), F.col("createdBy").alias("by"))
+
+
+@_query("uploads_completed", "SELECT p_name AS file_name, p_partkey, CASE WHEN p_size > 20 AND EXISTS (SELECT 1 FROM part q WHERE q.p_name = part.p_name AND q.p_brand = 'Brand#1') THEN 'COMPLETED' WHEN p_size > 20 THEN 'PENDING' ELSE 'FAILED' END AS status FROM part")
+def uploads_completed(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    uploads = part.select(F.col("p_name").alias("file_name"), "p_partkey", F.when(F.col("p_size") > 20, "PENDING").otherwise("FAILED").alias("status"))
+    return state.completed(uploads, part.where("p_brand = 'Brand#1'").select(F.col("p_name").alias("file_name")))
+
+
+@_query(
+    "media_access",
+    f"""{_SHAPES} SELECT DISTINCT 'f' || m.id AS file_name FROM messages m JOIN members c USING (conversation_id) WHERE c.user_id = 3 AND m.deleted_for_everyone IS FALSE""",
+)
+def media_access(spark: SparkSession, d: str) -> DataFrame:
+    s = _shapes(spark, d)
+    name = F.concat(F.lit("f"), F.col("id").cast("string"))
+    return messaging.media_access(s.messages.select(name.alias("file_name")).distinct(), s.messages.withColumn("media_url", F.concat(F.lit("https://files/x/"), name)), s.members, 3)
+
+
+@_query("usable_users", "SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND NOT (c_mktsegment = 'BUILDING')")
+def usable_users(spark: SparkSession, d: str) -> DataFrame:
+    users = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") > 0).alias("enabled"), (F.col("c_mktsegment") == "BUILDING").alias("blocked"))
+    return access.usable(users).select("c_custkey")
+
+
+@_query(
+    "token_claims",
+    """SELECT CAST(c_custkey AS VARCHAR) AS sub, c_mktsegment AS role, coalesce(a.names, '') AS authorities, 15 AS minutes
+       FROM customer LEFT JOIN (SELECT o_custkey, array_to_string(list_sort(list_distinct(list(o_orderpriority))), ',') AS names FROM orders GROUP BY o_custkey) a ON o_custkey = c_custkey""",
+)
+def token_claims(spark: SparkSession, d: str) -> DataFrame:
+    users = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("email"), F.col("c_name").alias("full_name"), F.col("c_mktsegment").alias("role"))
+    held = access.effective(table(spark, d, "orders").select(F.col("o_custkey").alias("owner_id"), F.col("o_orderpriority").alias("name")), table(spark, d, "orders").select(F.col("o_custkey").alias("owner_id"), F.col("o_orderpriority").alias("name")))
+    told = access.claims(users, held, F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"), 15)
+    return told.select("sub", "role", F.array_join("authorities", ",").alias("authorities"), F.timestamp_diff("MINUTE", "iat", "exp").cast("int").alias("minutes"))
+
+
+@_query("without_space", "SELECT p_partkey, replace(p_name, ' ', '') AS name FROM part")
+def without_space(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", text.without_space(F.col("p_name")).alias("name"))
+
+
+@_query("full_records", "SELECT o_orderkey AS _id, o_orderstatus AS status FROM orders")
+def full_records(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "orders").select(F.col("o_orderkey").alias("_id"), F.col("o_orderstatus").alias("status"), F.lit("orders").alias("entity"), F.lit(1).alias("createdBy"))
+    return projection.full(records)
+
+
+@_query("gated_filters", "SELECT event_id FROM events WHERE event_type = 'click'")
+def gated_filters(spark: SparkSession, d: str) -> DataFrame:
+    """Without the permission to search, text predicates are left out; other filters hold."""
+    plan = language.plan({"event_type_eq": "click", "event_type_contains": "view"}, Definition("events", allow_filters=True), prefix="")
+    return plans.filtered(table(spark, d, "events"), plan).select("event_id")
+
+
+@_query("closed_filters", "SELECT event_id FROM events")
+def closed_filters(spark: SparkSession, d: str) -> DataFrame:
+    """Without the permission to filter, nothing is filtered."""
+    plan = language.plan({"event_type_eq": "click"}, Definition("events", allow_search=True), prefix="")
+    return plans.filtered(table(spark, d, "events"), plan).select("event_id")
+
+
+@_query("untranslated_field", "SELECT doc_id AS _id FROM documents WHERE source = 'src1'")
+def untranslated_field(spark: SparkSession, d: str) -> DataFrame:
+    """A field that avoids translation is read plainly, whatever the language."""
+    definition = Definition("docs", (Field("title", avoid_translate=True),), allow_filters=True)
+    records = table(spark, d, "documents").select(F.col("doc_id").alias("_id"), F.struct(F.col("source").alias("title")).alias("data"))
+    return plans.filtered(records, language.plan({"title_eq": "src1", "language": "de"}, definition)).select("_id")
+
+
+@_query("default_sort", "SELECT o_orderkey AS _id FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 15")
+def default_sort(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "orders").select(F.col("o_orderkey").alias("_id"), F.struct(F.col("o_totalprice").alias("total")).alias("data"))
+    definition = Definition("orders", (Field("total"),), allow_sort=True, default_sort=("total", "DESC"))
+    return plans.paged(records, language.plan({"take": "15"}, definition), "_id").select("_id")
+
+
+@_query(
+    "lang_sort_two_keys",
+    "SELECT doc_id AS _id FROM documents ORDER BY CASE WHEN lang = 'de' THEN source END NULLS FIRST, lang NULLS FIRST, doc_id LIMIT 40 OFFSET 3",
+)
+def lang_sort_two_keys(spark: SparkSession, d: str) -> DataFrame:
+    """By the translated title, then by the plain one."""
+    docs = table(spark, d, "documents")
+    fields = F.struct(F.create_map("lang", "source").alias("title"))
+    records = docs.select(F.col("doc_id").alias("_id"), fields.alias("data"), "lang")
+    plan = language.plan({"sort.key": "title", "language": "de", "offset": "3", "take": "40"}, _TRANSLATED)
+    translated, _ = plan.order
+    # a map has no order of its own, so the plain key is the column beside it
+    return plans.paged(records, language.Plan(order=(translated, ("lang", False)), offset=plan.offset, limit=plan.limit), "_id").select("_id")
+
+
+@_query("calendar_order", "SELECT event_id AS id, row_number() OVER (ORDER BY CAST(ts AS DATE), CASE WHEN event_id % 5 = 0 THEN '9h' ELSE strftime(ts, '%H:%M') END, event_id) AS place FROM events WHERE user_id = 7")
+def calendar_order(spark: SparkSession, d: str) -> DataFrame:
+    own = access.owned(_calendar(spark, d), 7)
+    listed = own.agg(F.array_sort(F.collect_list(F.struct("event_date", "start_time", "id"))).alias("e"))
+    return listed.select(F.posexplode("e").alias("p", "x")).select("x.id", (F.col("p") + 1).cast("long").alias("place"))
+
+
+@_query(
+    "logins_revoke",
+    """WITH ranked AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, count(*) OVER (PARTITION BY user_id) AS held FROM events)
+       SELECT user_id, event_id AS device_id FROM ranked WHERE NOT (held >= 5 AND n = 1)""",
+)
+def logins_revoke(spark: SparkSession, d: str) -> DataFrame:
+    """A login at the limit evicts the oldest device, and its refresh tokens with it."""
+    devices = table(spark, d, "events").select("user_id", F.col("event_id").alias("device_id"), F.col("ts").alias("created_at"))
+    return state.revoked(devices.select("user_id", "device_id"), state.evicted(devices, 5)).select("user_id", "device_id")
+
+
 # --- streams: run over what the tables hold, then compared with SQL over the same rows --
 
 _ALL["stream_fanout"] = (

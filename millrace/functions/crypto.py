@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+import secrets
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,11 +29,16 @@ def short_digest(text: Column) -> Column:
     return F.substring(F.translate(_one_line(F.base64(F.unhex(F.sha2(text, 256)))), "+/=", "-_"), 1, 10)
 
 
-def new_key() -> Column:
-    """32 random bytes as base64; differs at every evaluation, so store it at once."""
-    return _one_line(F.base64(F.unhex(F.concat(F.sha2(F.uuid(), 256)))))
+def new_key() -> str:
+    """32 random bytes of the system's generator as base64, made on the driver; store it at once."""
+    return base64.b64encode(secrets.token_bytes(32)).decode()
+
+
+#: Fixed values of the codes.
+SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
 
 def code(length: int = 6) -> Column:
-    """Random letters and digits; differs at every evaluation."""
-    return F.upper(F.substring(F.sha2(F.uuid(), 256), 1, length))
+    """Random letters and digits, 62 symbols a place; differs for every row and evaluation."""
+    place = lambda: F.substr(F.lit(SYMBOLS), F.floor(F.rand(secrets.randbits(31)) * len(SYMBOLS)).cast("int") + 1, F.lit(1))
+    return F.concat(*[place() for _ in range(length)])

@@ -96,6 +96,11 @@ def logged_in(devices: DataFrame, logins: DataFrame, limit: int) -> DataFrame:
     return upserted(kept, new, ["user_id", "device_id"])
 
 
+def revoked(tokens: DataFrame, devices: DataFrame) -> DataFrame:
+    """Refresh tokens (user_id, device_id, ...) without those of devices that are evicted or signed out."""
+    return tokens.join(devices.select("user_id", "device_id"), ["user_id", "device_id"], "left_anti")
+
+
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in an order."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")

@@ -76,8 +76,7 @@ class Resolved:
             return F.coalesce(F.exists(self.column, lambda x: F.coalesce(compare(x, F.lit(value)), F.lit(False))), F.lit(False))
         if isinstance(self.kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) and isinstance(value, str):
             # a deliberate extension: text that reads as a time compares with times
-            stamp = F.try_to_timestamp(F.lit(value)).cast(self.kind)
-            return F.coalesce(compare(self.column, stamp), F.lit(False))
+            return compare(self.column, F.try_to_timestamp(F.lit(value)).cast(self.kind))
         if self.variant:
             items = F.try_variant_get(self.column, self.path, "array<variant>")
             in_list = F.schema_of_variant(F.try_variant_get(self.column, self.path, "variant")).startswith("ARRAY")
@@ -90,6 +89,33 @@ class Resolved:
     def _classes(self) -> tuple[str, ...]:
         return {T.StringType: ("string",), T.BooleanType: ("boolean",)}.get(type(self.kind), ("number",) if isinstance(self.kind, T.NumericType) else ())
 
+    def plain(self, values: list[Literal]) -> list[Literal] | None:
+        """Those of ``values`` that a plain typed column can equal; None where the column is not of that kind."""
+        return [v for v in values if _CLASS[type(v)] in self._classes()] if self._classes() else None
+
+    def matches(self, pattern: str) -> Column:
+        """Whether a text, or any text in a list, matches."""
+        if isinstance(self.kind, T.ArrayType):
+            if not isinstance(self.kind.elementType, T.StringType):
+                return F.lit(False)
+            return F.coalesce(F.exists(self.column, lambda x: x.rlike(pattern)), F.lit(False))
+        one = F.coalesce(self.of("string").rlike(pattern), F.lit(False))
+        if not self.variant:
+            return one
+        items = F.try_variant_get(self.column, self.path, "array<variant>")
+        return one | F.coalesce(F.exists(items, lambda x: F.coalesce(_classed(x, "$", "string").rlike(pattern), F.lit(False))), F.lit(False))
+
+    def sort_keys(self) -> list[Column]:
+        """What orders by this path: a VARIANT by its class (number, text, object, list, boolean), then by value."""
+        if not self.variant:
+            return [self.column]
+        named = F.schema_of_variant(F.try_variant_get(self.column, self.path, "variant"))
+        classes = [("^(BIGINT|DOUBLE|FLOAT|DECIMAL)", 1), ("^STRING", 2), ("^OBJECT", 3), ("^ARRAY", 4), ("^BOOLEAN", 5), ("^VOID", None)]
+        rank = F.lit(None).cast("int")
+        for pattern, n in reversed(classes):
+            rank = F.when(named.rlike(pattern), F.lit(n).cast("int")).otherwise(rank if pattern != "^VOID" else F.when(named.isNotNull(), 6))
+        return [rank, self.of("number"), F.try_variant_get(self.column, self.path, "string")]
+
 
 _COMPARE = {"eq": lambda a, b: a == b, "gt": lambda a, b: a > b, "gte": lambda a, b: a >= b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b}
 
@@ -102,9 +128,17 @@ def _one(at: Resolved, p: Predicate) -> Column:
     if p.operator in _COMPARE:
         return at.test(literal(p.value), _COMPARE[p.operator])
     if p.operator == "neq":
+        plain = at.plain([literal(p.value)])
+        if plain:
+            return ~at.column.eqNullSafe(F.lit(plain[0]))
         return ~F.coalesce(at.test(literal(p.value), _COMPARE["eq"]), F.lit(False))
     if p.operator in ("in", "nin"):
         values = literals(p.value)
+        plain = at.plain(values)
+        if plain is not None:
+            if p.operator == "in":
+                return at.column.isin(plain) if plain else F.lit(False)
+            return at.column.isNull() | ~at.column.isin(plain) if plain else F.lit(True)
         any_of = reduce(or_, (F.coalesce(at.test(v, _COMPARE["eq"]), F.lit(False)) for v in values), F.lit(False))
         return any_of if p.operator == "in" else ~any_of
     if p.operator == "isnull":
@@ -114,11 +148,7 @@ def _one(at: Resolved, p: Predicate) -> Column:
     # text operators take the raw value; matching is by regular expression, so that case folds as Unicode does
     raw = _quoted(p.value or "")
     pattern = {"contains": f"(?iu){raw}", "startswith": f"(?iu)^{raw}", "endswith": f"(?iu){raw}$"}[p.operator]
-    if isinstance(at.kind, T.ArrayType):
-        if not isinstance(at.kind.elementType, T.StringType):
-            return F.lit(False)
-        return F.coalesce(F.exists(at.column, lambda x: x.rlike(pattern)), F.lit(False))
-    return F.coalesce(at.of("string").rlike(pattern), F.lit(False))
+    return at.matches(pattern)
 
 
 def _span(at: Resolved, r: Range) -> Column:
@@ -140,12 +170,7 @@ def filtered(df: DataFrame, plan: Plan) -> DataFrame:
 
 def ordered(df: DataFrame, plan: Plan, tiebreak: str) -> DataFrame:
     """Nulls come first going up and last going down; ``tiebreak`` makes pages repeatable."""
-
-    def key(path: str) -> Column:
-        at = Resolved(df, path)
-        return F.try_variant_get(at.column, at.path, "string") if at.variant else at.column
-
-    keys = [key(p).desc_nulls_last() if down else key(p).asc_nulls_first() for p, down in plan.order if Resolved(df, p).kind is not None]
+    keys = [k.desc_nulls_last() if down else k.asc_nulls_first() for p, down in plan.order if (at := Resolved(df, p)).kind is not None for k in at.sort_keys()]
     return df.orderBy(*keys, F.col(tiebreak).asc())
 
 

@@ -11,15 +11,34 @@ from pyspark.sql import types as T
 from millrace.plans.language import Definition
 
 
+def _in_variant(value: Column, parts: list[str], lists: int = 2) -> Column:
+    """The value at a path of a VARIANT, through objects and lists (at most ``lists`` directly inside each other).
+
+    Null items are dropped and an empty list is null.
+    """
+    if not parts:
+        return value
+    inner = _in_variant(F.try_variant_get(value, f"$['{parts[0]}']", "variant"), parts[1:])
+    if not lists:
+        return inner
+    # null in JSON is no value
+    each = F.filter(F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: _in_variant(x, parts, lists - 1)), lambda x: x.isNotNull() & ~F.coalesce(F.is_variant_null(x), F.lit(False)))
+    return F.when(F.schema_of_variant(value).startswith("ARRAY"), F.when(F.size(each) > 0, F.to_variant_object(each))).otherwise(inner)
+
+
 def extract(column: Column, kind: T.DataType, parts: list[str]) -> tuple[Column, T.DataType] | None:
-    """The value at a path, through structs and through lists; null items are dropped and an empty list is null."""
+    """The value at a path, through structs, maps, VARIANTs and lists; null items are dropped and an empty list is null."""
     if not parts:
         return column, kind
     if isinstance(kind, T.StructType):
         match = next((f for f in kind.fields if f.name == parts[0]), None)
         return None if match is None else extract(column.getField(parts[0]), match.dataType, parts[1:])
+    if isinstance(kind, T.MapType):
+        return extract(column.getItem(parts[0]), kind.valueType, parts[1:])
+    if isinstance(kind, T.VariantType):
+        return _in_variant(column, parts), kind
     if isinstance(kind, T.ArrayType):
-        inner = extract(F.lit(None), kind.elementType, parts)
+        inner = extract(F.lit(None), kind.elementType, parts) if not isinstance(kind.elementType, T.VariantType) else (None, kind.elementType)
         if inner is None:
             return None
         each = F.filter(F.transform(column, lambda x: extract(x, kind.elementType, parts)[0]), lambda x: x.isNotNull())
@@ -28,8 +47,14 @@ def extract(column: Column, kind: T.DataType, parts: list[str]) -> tuple[Column,
 
 
 def value_at(column: Column, kind: T.DataType, path: str) -> Column:
-    """The value at a path through structs only; a list on the way gives null."""
-    for part in path.split("."):
+    """The value at a path through structs, maps and objects of a VARIANT; a list on the way gives null."""
+    parts = path.split(".")
+    for i, part in enumerate(parts):
+        if isinstance(kind, T.VariantType):
+            return F.try_variant_get(column, "$" + "".join(f"['{p}']" for p in parts[i:]), "variant")
+        if isinstance(kind, T.MapType):
+            column, kind = column.getItem(part), kind.valueType
+            continue
         match = next((f for f in kind.fields if f.name == part), None) if isinstance(kind, T.StructType) else None
         if match is None:
             return F.lit(None)
@@ -54,11 +79,13 @@ def nested(values: Iterable[tuple[str, Column]]) -> Column:
 
 
 def public(df: DataFrame, definition: Definition, data: str = "data") -> DataFrame:
-    """``df`` with ``data`` cut to its public fields; everything, where reading is not public at all."""
+    """``df`` with ``data`` cut to its public fields; everything, where reading is not public at all. A VARIANT stays one."""
     if definition.public_get is not True:
         return df
     kind = df.schema[data].dataType
     found = [(f.path, got[0]) for f in definition.fields if f.public and f.key.strip() and (got := extract(F.col(data), kind, f.path.split(".")))]
+    if isinstance(kind, T.VariantType):
+        return df.withColumn(data, F.to_variant_object(nested(found)) if found else F.parse_json(F.lit("{}")))
     return df.withColumn(data, nested(found) if found else F.lit(None).cast("struct<>"))
 
 

@@ -1,11 +1,13 @@
 """Operators on rows that are easy to get wrong."""
 
+import base64
+
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import crypto, text, times
 from millrace.operators import access, calendar, constraints, messaging, state
-from millrace.plans import projection
+from millrace.plans import compile, language, projection
 from millrace.plans.language import Definition, Field, Unique
 from millrace.sources import sinks, tables
 from millrace.sources.store import Store
@@ -135,3 +137,50 @@ def test_claims_and_audit(spark):
     assert got["authorities"] == [] and got["sub"] == "1" and (got["exp"] - got["iat"]).seconds == 300
     rows = spark.createDataFrame([(None, None, None)], "createdAt timestamp, updatedAt timestamp, createdBy string")
     assert state.audited(rows, F.lit("2024-01-01").cast("timestamp"), None).first()["createdBy"] == "system"
+
+
+# --- plans ---------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    ("params", "pushed"),
+    [
+        ({"o_orderstatus_eq": "O"}, "EqualTo(o_orderstatus,O)"),
+        ({"o_orderstatus_neq": "O"}, "Not(EqualNullSafe(o_orderstatus,O))"),
+        ({"o_orderkey_in": "1,2,3"}, "In(o_orderkey, [1,2,3])"),
+        ({"o_orderkey_nin": "1,2,3"}, "Or(IsNull(o_orderkey),Not(In(o_orderkey, [1,2,3])))"),
+        ({"o_totalprice_gte": "10.5"}, "GreaterThanOrEqual(o_totalprice,10.5)"),
+        ({"o_orderkey_betweenstart": "5", "o_orderkey_betweenend": "9"}, "LessThanOrEqual(o_orderkey,9)"),
+        ({"o_orderstatus_isnull": ""}, "IsNull(o_orderstatus)"),
+        ({"o_orderstatus_isnotnull": ""}, "IsNotNull(o_orderstatus)"),
+    ],
+)
+def test_predicates_reach_the_scan(spark, params, pushed):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    plan = compile.filtered(orders, language.plan(params, prefix=""))._jdf.queryExecution().executedPlan().toString()
+    assert pushed in plan.split("PushedFilters: ")[1].split("], Read")[0]
+
+
+def test_times_reach_the_scan(spark):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    plan = compile.filtered(events, language.plan({"ts_gte": "2024-01-15"}, prefix=""))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts,2024-01-15" in plan
+
+
+def test_conflicts_of_lists_are_a_hashed_join(spark):
+    df = spark.createDataFrame([(1, ["A", "b"]), (2, ["B"]), (3, ["c"]), (4, None), (5, [])], "id long, tags array<string>")
+    found = constraints.conflicts(df, df, Unique(("tags",), ignore_case=True), "id")
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["id"] for r in found.collect()) == [1, 2]
+    assert [r["id"] for r in constraints.conflicts(df, df, Unique(("tags",)), "id").collect()] == []
+
+
+def test_unknown_paths_of_a_rule_are_errors(spark):
+    with pytest.raises(ValueError):
+        constraints.violations(spark.range(3), Unique(("nothing",)))
+
+
+def test_codes_and_keys(spark):
+    codes = [r[0] for r in spark.range(200).select(crypto.code(8).alias("c")).collect()]
+    assert len(set(codes)) > 190 and all(len(c) == 8 and set(c) <= set(crypto.SYMBOLS) for c in codes) and len(set("".join(codes))) > 55
+    assert len(base64.b64decode(crypto.new_key())) == 32 and crypto.new_key() != crypto.new_key()
