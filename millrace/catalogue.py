@@ -685,12 +685,12 @@ def key_changes(spark: SparkSession, d: str) -> DataFrame:
 # --- state and life cycle ------------------------------------------------------------
 
 
-@_query("merge_state", "SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'X' ELSE o_orderstatus END AS status FROM orders UNION ALL SELECT -o_orderkey, 'N' FROM orders WHERE o_orderstatus = 'P'")
+@_query("merge_state", "SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'X' ELSE o_orderstatus END AS status FROM orders UNION ALL SELECT -1 - o_orderkey, 'N' FROM orders WHERE o_orderstatus = 'P'")
 def merge_state(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders")
     now = orders.select("o_orderkey", F.col("o_orderstatus").alias("status"))
     urgent = orders.where("o_orderpriority = '1-URGENT'").select("o_orderkey", F.lit("X").alias("status"))
-    changes = urgent.unionByName(orders.where("o_orderstatus = 'P'").select((-F.col("o_orderkey")).alias("o_orderkey"), F.lit("N").alias("status")))
+    changes = urgent.unionByName(orders.where("o_orderstatus = 'P'").select((-1 - F.col("o_orderkey")).alias("o_orderkey"), F.lit("N").alias("status")))
     return state.upserted(now, changes, ["o_orderkey"])
 
 
