@@ -1,7 +1,8 @@
 """Frames of a live channel: parsed, dispatched, fanned out, counted, kept as state.
 
-Every function takes a streaming or a batch frame alike; what keeps state has a batch
-twin, an ordered fold, that gives the same result over the same events.
+Parsing, dispatch and fan-out take streaming and batch frames alike. Reactions keep
+state on a stream and have a batch twin, an ordered fold, that gives the same result over
+the same events; sessions, receipts and counts work on batches of a stream.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -114,7 +115,3 @@ def personal(reactions: DataFrame, members: DataFrame) -> DataFrame:
 def into_batches(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]):
     """Runs ``each`` on what has arrived, in bounded batches, then stops; the checkpoint makes it go on where it was."""
     return stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(each).start()
-
-
-def ordered_first(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("__n = 1").drop("__n")

@@ -16,7 +16,13 @@ from millrace.streaming import frames
 
 
 def shared_folder(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/millrace-checkpoints").rstrip("/")
+    """spark.checkpoint.dir; a session on one machine that names none gets a folder of its own, on a cluster that is an error."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        place = "/tmp/millrace-checkpoints"
+    return place.rstrip("/")
 
 
 def drained(stream: DataFrame, each: Callable[[DataFrame], DataFrame]) -> DataFrame:
