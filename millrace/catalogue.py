@@ -748,6 +748,19 @@ def index_names(spark: SparkSession, d: str) -> DataFrame:
     return state.index_changes(desired, existing)
 
 
+@_query(
+    "index_specs",
+    """SELECT * FROM (VALUES ('own', 'data.name', 1, 1, TRUE, FALSE), ('own', 'createdAt', -1, 2, TRUE, FALSE), ('own', 'data.size', 1, 3, TRUE, FALSE),
+       ('entity_idx_' || substr(translate(to_base64(unhex(sha256(':null|data.at:0'))), '+/=', '-_'), 1, 10), 'data.At', 1, 1, FALSE, TRUE)) v(name, path, direction, place, is_unique, is_sparse)""",
+)
+def index_specs(spark: SparkSession, d: str) -> DataFrame:
+    schema = "name string, fields array<struct<path:string,direction:int>>, unique boolean, sparse boolean"
+    rows = [("own", [("name", 1), ("createdAt", -1), (" ", -1), ("data.size", None)], True, None), (" ", [(None, None), ("data.At", 0)], False, True), ("none", [], True, True)]
+    made = state.index_specs(spark.createDataFrame(rows, schema))
+    keys = made.select("name", F.posexplode("keys").alias("at", "k"), F.col("unique").alias("is_unique"), F.col("sparse").alias("is_sparse"))
+    return keys.select("name", "k.path", "k.direction", (F.col("at") + 1).alias("place"), "is_unique", "is_sparse")
+
+
 @_query("short_digests", "SELECT r_name, substr(translate(to_base64(unhex(sha256(r_name))), '+/=', '-_'), 1, 10) AS digest FROM region")
 def short_digests(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "region").select("r_name", crypto.short_digest(F.col("r_name")).alias("digest"))
@@ -928,7 +941,12 @@ _ALL["stream_calls"] = (
 )
 _ALL["stream_unread"] = (
     lambda spark, d: runs.unread_run(spark, d, _shapes(spark, d)),
-    f"{_SHAPES} SELECT c.user_id, m.conversation_id, count(*) AS unread FROM messages m JOIN members c ON c.conversation_id = m.conversation_id AND c.user_id != m.sender_id WHERE NOT m.deleted_for_everyone GROUP BY ALL",
+    f"""{_SHAPES}, counted AS (
+      SELECT c.user_id, m.conversation_id, count(*) FILTER (WHERE NOT m.deleted_for_everyone AND m.id > coalesce(r.last_message_id, 0)) AS unread
+      FROM members c JOIN messages m ON m.conversation_id = c.conversation_id AND m.sender_id <> c.user_id
+      LEFT JOIN receipts r ON r.conversation_id = c.conversation_id AND r.user_id = c.user_id GROUP BY ALL
+    ), totals AS (SELECT user_id, CAST(sum(unread) AS BIGINT) AS total FROM counted GROUP BY user_id)
+    SELECT t.user_id, t.total, p.conversation_id, p.unread FROM totals t LEFT JOIN (FROM counted WHERE unread > 0) p ON p.user_id = t.user_id""",
 )
 _TOGGLED = """WITH RECURSIVE e AS (SELECT event_id % 50 AS message_id, user_id, event_type AS emoji, row_number() OVER (PARTITION BY event_id % 50, user_id ORDER BY event_id) AS n FROM events),
   f AS (SELECT message_id, user_id, n, emoji AS now FROM e WHERE n = 1
@@ -944,6 +962,16 @@ def session_registry(spark: SparkSession, d: str) -> DataFrame:
     return frames.sessions(e, F.col("session"))
 
 
+_ALL["stream_sessions"] = (runs.session_run, _ALL["session_registry"][1])
+
+
+@_query("session_overflow", "SELECT user_id AS recipient_id, CAST(sum(strlen(event_type || event_id) * 50) AS BIGINT) AS bytes FROM events GROUP BY user_id HAVING bytes > 20000")
+def session_overflow(spark: SparkSession, d: str) -> DataFrame:
+    """Users whose frames outgrow a buffer of 20,000 bytes."""
+    value = F.repeat(F.concat("event_type", F.col("event_id").cast("string")), F.lit(50))
+    return frames.overflowing(table(spark, d, "events").select(F.col("user_id").alias("recipient_id"), value.alias("value")), 20_000)
+
+
 @_query(
     "receipt_upsert",
     f"""{_SHAPES}, e AS (SELECT conversation_id, 1 AS user_id, arg_max_null(CASE WHEN id % 2 = 0 THEN id - 1 END, id) AS last_message_id, max(id) AS newest FROM messages GROUP BY conversation_id)
@@ -956,6 +984,12 @@ def receipt_upsert(spark: SparkSession, d: str) -> DataFrame:
     return frames.receipts(s.receipts, events, newest, F.col("o")).select("conversation_id", "last_message_id")
 
 
+_ALL["stream_receipts"] = (
+    lambda spark, d: runs.receipt_run(spark, d, _shapes(spark, d).messages.groupBy("conversation_id").agg(F.max("id").alias("newest_id"))),
+    _ALL["receipt_upsert"][1],
+)
+
+
 @_query(
     "personal_reactions",
     f"""{_SHAPES}, r AS (SELECT event_id % 100 AS conversation_id, event_id % 50 AS message_id, user_id % 5 AS user_id, event_type AS emoji FROM events),

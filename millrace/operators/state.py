@@ -59,6 +59,24 @@ def index_names(indexes: DataFrame) -> DataFrame:
     return indexes.withColumn("name", F.coalesce(own, F.concat(F.lit("entity_idx_"), short_digest(signature))))
 
 
+#: Fields of a record that do not lie below its data.
+OWN_FIELDS = ["_id", "createdAt", "updatedAt", "createdBy"]
+
+
+def index_specs(indexes: DataFrame) -> DataFrame:
+    """(name, keys, unique, sparse) of the indexes to make; ``indexes`` also has the flags unique and sparse.
+
+    keys: array of path, as it lies in a record, and direction: -1 as given, else 1. A
+    field without a path is left out; an index without fields is not made.
+    """
+    path = lambda f: F.when(f["path"].startswith("data.") | f["path"].isin(OWN_FIELDS), f["path"]).otherwise(F.concat(F.lit("data."), f["path"]))
+    down = lambda f: F.coalesce(f["direction"] == -1, F.lit(False))
+    told = F.filter("fields", lambda f: F.coalesce(f["path"].rlike(r"\S"), F.lit(False)))
+    keys = F.transform(told, lambda f: F.struct(path(f).alias("path"), F.when(down(f), -1).otherwise(1).alias("direction")))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
+    return index_names(indexes.where(F.size("fields") > 0)).select("name", keys.alias("keys"), flag("unique"), flag("sparse"))
+
+
 def index_changes(desired: DataFrame, existing: DataFrame) -> DataFrame:
     """(name, change): replace, create or drop; the index on the key stays."""
     d, e = desired.select("name").distinct().withColumn("d", F.lit(True)), existing.select("name").distinct().where("name != '_id_'").withColumn("e", F.lit(True))
