@@ -24,6 +24,8 @@ SAMPLE_ROWS = 12_000
 FEATURES = 256
 FOLDS = 5
 L2 = 1.0
+#: A feature of fewer texts than this tells nothing.
+RARE = 3
 #: A document is toxic from this probability of the category ``toxic`` on.
 THRESHOLD = 0.3
 
@@ -46,6 +48,37 @@ def features(has: set[str]) -> set[str]:
     return found
 
 
+def _numbered(texts: list[str]) -> tuple[list[np.ndarray], dict[str, int]]:
+    """The features of each text as numbers, and the number of each; numbers go by the first text, then by the feature.
+
+    Features of fewer than RARE texts, which no model takes, get none. Those of a word are
+    looked up once for all texts.
+    """
+    seen: dict[str, int] = {}
+    of_word: dict[str, tuple[int, ...]] = {}
+    rows, held = [], []
+    for t in texts:
+        found: set[int] = set()
+        for w in t.split():
+            if (own := of_word.get(w)) is None:
+                own = of_word[w] = tuple(seen.setdefault(f, len(seen)) for f in features({w}))
+            found.update(own)
+        rows.append(np.fromiter(found, dtype=np.int32, count=len(found)))
+        held.append(len(seen))
+    del of_word
+    often = np.zeros(len(seen), dtype=np.int64)
+    for r in rows:
+        often[r] += 1
+    kept = {f: i for f, i in seen.items() if often[i] >= RARE}
+    del seen
+    names = sorted(kept)
+    ids = np.array([kept[f] for f in names], dtype=np.int64)
+    order = np.argsort(np.searchsorted(np.array(held), ids, side="right"), kind="stable")
+    number = np.full(len(often), -1, dtype=np.int32)
+    number[ids[order]] = np.arange(len(ids))
+    return [n[n >= 0] for n in (number[r] for r in rows)], {names[i]: k for k, i in enumerate(order.tolist())}
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -55,24 +88,24 @@ def _telling(rows: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
     if not rows:
         return np.zeros(0, dtype=int)
     at = np.concatenate(rows)
-    label = np.repeat(y, [len(r) for r in rows])
-    c = np.stack([np.bincount(at[label == k], minlength=size) for k in (0, 1)], axis=1).astype(float)
+    label = np.repeat(y == 1, [len(r) for r in rows])
+    c = np.stack([np.bincount(at[x], minlength=size) for x in (~label, label)], axis=1).astype(float)
     n = np.array([(y == 0).sum(), (y == 1).sum()], dtype=float) + 1
     rate = (c + 0.5) / n
     pooled = (c.sum(axis=1) + 1) / n.sum()
     z = np.abs(rate[:, 1] - rate[:, 0]) / np.sqrt(pooled * np.maximum(1 - pooled, 1e-3) * (1 / n).sum())
-    z[c.sum(axis=1) < 3] = -1
+    z[c.sum(axis=1) < RARE] = -1
     best = np.argsort(-z, kind="stable")[:FEATURES]
     return best[z[best] >= 0]
 
 
 def _matrix(rows: list[np.ndarray], chosen: np.ndarray, size: int, earlier: np.ndarray) -> np.ndarray:
-    at = np.full(size + 1, -1)
+    at = np.full(size + 1, -1, dtype=np.int32)
     at[chosen] = np.arange(len(chosen))
     x = np.zeros((len(rows), len(chosen) + earlier.shape[1] + 1))
     if rows:
         column = at[np.concatenate(rows)]
-        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
         x[row[column >= 0], column[column >= 0]] = 1
     x[:, len(chosen) : -1] = earlier
     x[:, -1] = 1
@@ -102,8 +135,7 @@ class Chain:
 
     def fit(self, texts: list[str], labels: np.ndarray, folds: np.ndarray) -> Chain:
         """``texts``: the words of each text, space-joined."""
-        seen: dict[str, int] = {}
-        rows = [np.array(sorted(seen.setdefault(f, len(seen)) for f in sorted(features(set(t.split())))), dtype=np.int64) for t in texts]
+        rows, seen = _numbered(texts)
         size = len(seen)
         held = np.zeros((len(rows), 0))
         for c in range(len(self.categories)):
@@ -127,8 +159,16 @@ class Chain:
         return self
 
     def predict(self, texts: list[str | None]) -> np.ndarray:
-        known = self.known.keys()
-        rows = [np.array([self.known[f] for f in features(words(t)) & known], dtype=np.int64) for t in texts]
+        # the features of each kind (words, stems of 4 and of 5 letters) that a model uses
+        whole, *stems = [{f.rstrip("~"): i for f, i in self.known.items() if (len(f) if f.endswith("~") else 0) == n} for n in (0, 5, 6)]
+
+        def used(has: set[str]) -> np.ndarray:
+            found = [whole[w] for w in has & whole.keys()]
+            for n, known in zip((4, 5), stems):
+                found += [known[w] for w in {w[:n] for w in has if len(w) >= n} & known.keys()]
+            return np.array(found, dtype=np.int64)
+
+        rows = [used(words(t)) for t in texts]
         p = np.zeros((len(rows), 0))
         for chosen, w in self.models:
             p = np.column_stack((p, _sigmoid(_matrix(rows, chosen, len(self.known), p) @ w)))
