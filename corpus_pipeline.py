@@ -68,7 +68,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document, and whether decoding them gives its bytes back."""
     vocabulary = bpe.public_vocabulary()
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), vocabulary), vocabulary)
+    coded = bpe.encode(docs.select("doc_id", "text"), vocabulary, decoded="decoded")  # one worker a task
     return coded.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

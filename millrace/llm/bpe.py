@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import free, hashable, packed, ship, table, unpacked
+from millrace.llm.common import free, hashable, packed, ship, table, tidy, unpacked
 
 CHUNK = 4096
 OVERLAP = 256
@@ -118,15 +118,24 @@ def encode_pieces(text: str, ends: np.ndarray, encoding: tiktoken.Encoding, know
     return b"".join(out)
 
 
-def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
+def bytes_of(ids: bytes, encoding: tiktoken.Encoding) -> bytes:
+    """The bytes of the tokens of ``ids``, joined."""
+    return encoding.decode_bytes(np.frombuffer(ids, dtype="<u4").tolist())
+
+
+def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``df`` with ``ids``: its texts' token ids as little-endian unsigned 32-bit integers (binary).
 
     A null or empty text gives no ids (empty binary). All columns pass through, texts
     included; repeated rows stay repeated. A column named like ``ids`` is replaced.
     Texts of up to SPREAD chunks are encoded where they lie; only longer ones move, equal
     rows of them once. A row, its text and its ids must fit a task.
+
+    With a name ``decoded`` the ids are decoded again at once, as ``decode`` does: one
+    Python worker a task, where ``decode`` after ``encode`` keeps two.
     """
-    df = free(df, [ids])
+    new = [ids, decoded] if decoded else [ids]
+    df = free(df, new)
     ship(df.sparkSession)
     at = df.columns.index(text)
     pattern = vocabulary.pattern
@@ -143,11 +152,12 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str =
             for lo in range(0, held.num_rows, 256):
                 batch = held.slice(lo, 256)
                 found = [one(x or "") for x in batch.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, ids])
+                back = [pa.array([bytes_of(x, encoding) for x in found], pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary()), *back], [*batch.schema.names, *new])
 
-    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.BinaryType())])
+    schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.BinaryType()) for c in new]])
     is_long = F.coalesce(F.length(own) > SPREAD * CHUNK + OVERLAP, F.lit(False))
-    encoded = df.where(~is_long).mapInArrow(near, schema)
+    encoded = df.where(~is_long).mapInArrow(tidy(near), schema)
 
     # a long text travels as chunks under the digest of its row; the row itself goes with the first one
     rest = [c for c in df.columns if c != text]
@@ -175,17 +185,19 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str =
         chunks = chunks.sort_by("lo")
         rows = zip(*(chunks.column(c).to_pylist() for c in ("lo", "part", "ends")))
         whole, ends = stitch([(lo, x, np.frombuffer(e, dtype="<i8")) for lo, x, e in rows], pattern)
-        found = encode_pieces(whole, ends, vocabulary.encoding(), {})
-        return pa.table({"kept": chunks.column("kept").slice(0, 1), "part": [whole], "ids": pa.array([found], pa.binary())})
+        encoding = vocabulary.encoding()
+        found = encode_pieces(whole, ends, encoding, {})
+        back = {"decoded": pa.array([bytes_of(found, encoding)], pa.binary())} if decoded else {}
+        return pa.table({"kept": chunks.column("kept").slice(0, 1), "part": [whole], "ids": pa.array([found], pa.binary())} | back)
 
     part, kept = (T.StructField(f.name, f.dataType) for f in counted.schema.fields[2:])  # nullable: later chunks have no rest
     key = [T.StructField("h0", T.LongType()), T.StructField("h1", T.LongType())]
     chunked = T.StructType([*key, T.StructField("lo", T.LongType()), part, kept])
     dealt = counted.mapInArrow(cut, chunked).repartition("h0", "h1", "lo")
-    joined = dealt.mapInArrow(pretokenise, T.StructType([*chunked.fields, T.StructField("ends", T.BinaryType())])).groupBy("h0", "h1").applyInArrow(join, T.StructType([kept, part, T.StructField("ids", T.BinaryType())]))
+    joined = dealt.mapInArrow(pretokenise, T.StructType([*chunked.fields, T.StructField("ends", T.BinaryType())])).groupBy("h0", "h1").applyInArrow(join, T.StructType([kept, part, *[T.StructField(c, T.BinaryType()) for c in ("ids", "decoded")[: len(new)]]]))
     again = joined.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("kept.n"))))
     others = dict(zip(rest, unpacked(rest, "kept.rest")))
-    out = again.select(*[F.col("part").alias(c) if c == text else others[c] for c in df.columns], F.col("ids").alias(ids))
+    out = again.select(*[F.col("part").alias(c) if c == text else others[c] for c in df.columns], *[F.col(c).alias(name) for c, name in zip(("ids", "decoded"), new)])
     return encoded.unionByName(out)
 
 
@@ -205,7 +217,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded: str
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)
-                found = [encoding.decode_bytes(np.frombuffer(x or b"", dtype="<u4").tolist()) for x in batch.column(at).to_pylist()]
+                found = [bytes_of(x or b"", encoding) for x in batch.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, decoded])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(decoded, T.BinaryType())]))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ship, table
+from millrace.llm.common import ship, table, tidy
 
 #: Edits allowed, as a share of an item's normalised length.
 EDITS = 0.06
@@ -209,7 +209,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_i
             for batch in batches:
                 yield batch.filter(pa.array([not (t and matcher.find(normalised(t), True)) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(tidy(keep), docs.schema)
     return docs
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import forget, saved, ship, table, written
+from millrace.llm.common import forget, saved, ship, table, tidy, written
 from millrace.llm.components import components
 
 #: Fingerprints that have their home in one shard, about.
@@ -421,7 +421,7 @@ def _signatures(df: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
             digests = [xxhash.xxh3_128_digest(h.tobytes()) for h in held]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array([len(h) for h in held], pa.int64()), pa.array(digests, pa.binary())], ["key", "fp", "size", "digest"])
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, fp binary, size long, digest binary")
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(tidy(run), "key long, fp binary, size long, digest binary")
 
 
 def _sets(df: DataFrame, plan: Plan) -> DataFrame:
@@ -433,7 +433,7 @@ def _sets(df: DataFrame, plan: Plan) -> DataFrame:
             held = [np.unique(shingles(t, plan.words)).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.list_(pa.int64()))], ["rep", "set"])
 
-    return df.select("rep", "text").mapInArrow(run, "rep long, set array<long>")
+    return df.select("rep", "text").mapInArrow(tidy(run), "rep long, set array<long>")
 
 
 def _checked(found: DataFrame, sets: DataFrame) -> DataFrame:

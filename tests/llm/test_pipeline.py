@@ -122,6 +122,33 @@ def test_stages(spark, folder):
     assert {r["doc_id"]: r["ids_sha256"] for r in whole} == want
 
 
+def python_at_once(plan, above=0):
+    """The most Python operators that one task of a physical plan runs at once."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return python_at_once(plan.executedPlan())
+    own = 0 if "Exchange" in plan.nodeName() else above + ("Arrow" in plan.nodeName())
+    children = plan.children()
+    return max([own, above, *(python_at_once(children.apply(i), own) for i in range(children.size()))])
+
+
+def test_encoding_keeps_one_python_worker_a_task(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    encoded = corpus_pipeline.encode(spark, docs, DATA)
+    assert python_at_once(encoded._jdf.queryExecution().executedPlan()) == 1
+
+
+def test_decoding_at_once_is_decoding_after(spark):
+    long = "grüße, 12 Bäume \n" * (2 * bpe.SPREAD * bpe.CHUNK // 16)
+    docs = spark.createDataFrame([(1, "a b c", "x"), (1, "a b c", "x"), (2, None, "y"), (3, "", None), (4, long, "z"), (4, long, "z")], "doc_id long, text string, decoded string")
+    vocabulary = bpe.public_vocabulary()
+    once = bpe.encode(docs, vocabulary, decoded="decoded")
+    after = bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
+    assert once.columns == after.columns == ["doc_id", "text", "ids", "decoded"]
+    held = sorted(once.collect(), key=str)
+    assert held == sorted(after.collect(), key=str) and len(held) == 6
+    assert all(bytes(r.decoded) == (r.text or "").encode() for r in held)
+
+
 def test_a_run_leaves_only_what_its_result_reads(spark, folder):
     common.forget(spark)
     before = common.written()
